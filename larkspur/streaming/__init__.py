@@ -1,0 +1 @@
+"""Deliberately empty: the engine's inputs are bounded edge lists, so there is no streaming operator to offer."""
