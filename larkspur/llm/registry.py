@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from larkspur.llm import rules, sql
+from larkspur.llm import language, lines, rules, sql
 
 QUERIES = {
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op6_language_id": language.op6_language_id,
     "op8_quality_rules": rules.op8_quality_rules,
 }
 
 ORACLES = {
+    "op4_line_dedup": sql.op4(),
     "op8_quality_rules": sql.op8(),
 }

@@ -31,3 +31,21 @@ q AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_chars, n_
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {held} AS kept FROM q
 """
+
+
+def op4(depth: int = 3, least: int = 5, share: float = 0.2, min_tokens: int = 3) -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
+l AS (SELECT doc_id, raw[i] AS line, i, regexp_replace(raw[i], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS masked
+  FROM (SELECT doc_id, raw, unnest(range(1, len(raw) + 1)) AS i FROM d WHERE text IS NOT NULL)),
+k AS (SELECT *, trim(masked, ' ') AS tmpl, regexp_extract_all(masked, '[^\x20\x09-\x0D]+') AS tokens FROM l),
+s AS (SELECT *, lag(tmpl) OVER w AS before, lead(tmpl) OVER w AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT len(tokens) AS n_tokens, tokens[1:{depth}] AS lead_tokens, tmpl, before, after, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi
+  FROM s WHERE len(tokens) >= {min_tokens} GROUP BY ALL),
+r AS (SELECT n_tokens, lead_tokens, tmpl FROM c GROUP BY ALL
+  HAVING count(*) >= {least} AND min(lo) < max(hi) AND max(n) <= {share} * sum(n)),
+o AS (SELECT s.doc_id, count(r.tmpl) AS n_removed, coalesce(string_agg(s.line, chr(10) ORDER BY i) FILTER (r.tmpl IS NULL), '') AS kept
+  FROM s LEFT JOIN r ON r.n_tokens = len(s.tokens) AND r.lead_tokens = s.tokens[1:{depth}] AND r.tmpl = s.tmpl GROUP BY s.doc_id)
+SELECT doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
