@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.llm import language, lines, rules, sql
+from larkspur.llm import bpe, language, lines, rules, sql
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op4_line_dedup": lines.op4_line_dedup,
     "op6_language_id": language.op6_language_id,
     "op8_quality_rules": rules.op8_quality_rules,
