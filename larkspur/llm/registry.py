@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, language, lines, rules, sql
+from larkspur.llm import bpe, language, lines, quality, rules, sql, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_line_dedup": lines.op4_line_dedup,
     "op6_language_id": language.op6_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": rules.op8_quality_rules,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 
 ORACLES = {
