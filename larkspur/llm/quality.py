@@ -23,18 +23,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents
+from larkspur.llm.common import Stage, documents
 from larkspur.llm.toxicity import _logistic
 
 SAMPLE, SMALL, SALT, TRUST, PULL = 4000, 50_000, 32, 0.25, 0.5
-RATIOS = ("symbols", "upper", "dup_lines", "digits", "log_chars", "shouts")
+RATIOS = ("symbols", "upper", "dup_lines", "digits", "log_chars", "shouts", "distinct_words")
 
 
 def ratios(text: Column) -> list[Column]:
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / n
-    lines = F.split(t, "\n")
+    lines, words = F.split(t, "\n"), F.split(t, r"\s+")
     return [
         without("#*$%&|<>").alias("symbols"),
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"),
@@ -42,6 +42,7 @@ def ratios(text: Column) -> list[Column]:
         without("0123456789").alias("digits"),
         F.log1p(n).alias("log_chars"),
         without("!").alias("shouts"),
+        (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_words"),
     ]
 
 
@@ -60,7 +61,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     part = {k: min(1.0, sample / n) for k, n in sizes.items()}
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), *ratios(F.col("text")))
+    # One scan of the texts; what follows reads a few numbers a row.
+    measured = Stage(docs.sparkSession).cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), *ratios(F.col("text"))))
     evidence = F.lit(0.5)
     if set(sizes) == {0, 1}:
         chance = F.when(F.col("quality") == 1, part[1]).otherwise(part[0]) * 1_000_000

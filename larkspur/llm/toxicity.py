@@ -1,7 +1,7 @@
 """Toxicity (7): maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-A token's score is its log-odds between toxic and clean documents under a Dirichlet prior that follows
-the overall counts, less a small drift that keeps segments local. One linear scan of a text finds all
+A token's score is its log-odds between toxic and clean documents under a Dirichlet prior (a floor plus a
+part that follows the overall counts), less a small drift that keeps segments local. One linear scan of a text finds all
 its maximal scoring segments; by the statistics of such segments in clean text (Karlin and Altschul:
 sum of p exp(lambda s) = 1, and K from clean documents) each has an expected number of chance
 occurrences, which tells significant passages from noise. A logistic curve over that evidence, fitted
@@ -9,7 +9,8 @@ on labelled rows, gives the probability.
 
 The model learns from a bounded sample: SAMPLE labelled rows of each class at most (in expectation),
 picked by a hash of doc_id among rows that are not held out, and MODEL tokens at most. Counts are
-aggregated in Spark; the driver sees the chosen tokens and one row for each sampled text. Scoring is one
+aggregated in Spark, over one text of each group of near copies in the sample (copies would lend their
+rare words the weight of evidence); the driver sees the chosen tokens and one row for each sampled text. Scoring is one
 Arrow pass over whole texts without a shuffle.
 
 Null and empty texts score as texts without evidence; without labels of both classes all score 0. Rows
@@ -19,19 +20,23 @@ like our results are replaced.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.common import documents
 
-SAMPLE, MODEL, PRIOR, LEAST_Z, DRIFT = 3000, 20_000, 500.0, 4.0, 0.05
+SAMPLE, MODEL, FLOOR, PRIOR, LEAST_Z, LEAST_SEEN, DRIFT = 3000, 20_000, 0.5, 500.0, 3.0, 5, 0.05
+SKETCHES = 4
 TOKEN = regex.compile(r"\p{L}+").findall
 SIGNIFICANT = 0.01
+LEVEL = -math.log(-math.log1p(-SIGNIFICANT))
 
 
 def held_out(doc_id):
@@ -78,6 +83,10 @@ class Scorer:
         surprise = self.rate * np.array(sums) - self.log_k - np.log(max(n_tokens, 1))
         return float(np.clip(surprise.max(), -20, 60)), float(np.log1p(np.clip(surprise, 0, 60).sum()))
 
+    def significant(self, n_tokens: int, total: float) -> bool:
+        """Whether chance gives a text of that length so good a segment in fewer than SIGNIFICANT of cases."""
+        return self.rate * total - self.log_k - math.log(max(n_tokens, 1)) > LEVEL
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30)))
 
@@ -86,8 +95,7 @@ class Scorer:
             return 0.0, 0, 0
         found, parts = self.passages(text)
         x = self.evidence(len(found), [p[2] for p in parts])
-        level = -np.log(-np.log1p(-SIGNIFICANT))
-        n = sum(self.rate * p[2] - self.log_k - np.log(max(len(found), 1)) > level for p in parts)
+        n = sum(self.significant(len(found), p[2]) for p in parts)
         score = float(self.probability(np.array([x]))[0])
         return score, int(score >= 0.5), int(n)
 
@@ -140,6 +148,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     if set(weight) != {0, 1}:
         return Scorer({}, 1.0)
 
+    def sketch(batches):
+        """The least of the hashes of a text's long tokens, by several hashes: near copies share most of them."""
+        for batch in batches:
+            least = []
+            for text in batch.column("text").to_pylist():
+                long = {t.encode() for t in tokens(text) if len(t) >= 8} or {bytes(text or b"")}
+                least.append([min(xxhash.xxh3_64_intdigest(t, seed=k) for t in long) >> 1 for k in range(SKETCHES)])
+            cols = [pa.array([x[k] for x in least], pa.int64()) for k in range(SKETCHES)]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), *cols], names=["text", "toxic", *[f"s{k}" for k in range(SKETCHES)]])
+
+    single = rows.mapInArrow(sketch, "text binary, toxic int, " + ", ".join(f"s{k} long" for k in range(SKETCHES)))
+    for k in range(SKETCHES):
+        single = single.dropDuplicates(["toxic", f"s{k}"])
+    single = single.select("text", "toxic")
+
     def count(batches):
         for batch in batches:
             tally: dict[str, list[int]] = {}
@@ -153,15 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
             cols = list(zip(*tally.values())) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["token", "y0", "y1", "seen"])
 
-    counts = rows.mapInArrow(count, "token string, y0 long, y1 long, seen long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y0", "y1", "seen")])
-    n0, n1, seen = counts.agg(F.sum("y0"), F.sum("y1"), F.sum("seen")).first()
+    counts = single.mapInArrow(count, "token string, y0 long, y1 long, seen long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y0", "y1", "seen")])
+    n0, n1, seen, n_tokens = counts.agg(F.sum("y0"), F.sum("y1"), F.sum("seen"), F.count("*")).first()
     if not n0 or not n1:
         return Scorer({}, 1.0)
-    prior = PRIOR * (F.col("y0") + F.col("y1")) / (n0 + n1)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
+    prior = FLOOR + PRIOR * (F.col("y0") + F.col("y1")) / (n0 + n1)
+    whole = PRIOR + FLOOR * n_tokens
+    odds = lambda y, n: F.log((F.col(y) + prior) / (n + whole - F.col(y) - prior))
     spread = F.sqrt(1 / (F.col("y0") + prior) + 1 / (F.col("y1") + prior))
-    told = counts.select("token", "seen", (odds("y1", n1) - odds("y0", n0)).alias("delta"), spread.alias("spread"))
-    told = told.where(F.abs(F.col("delta") / F.col("spread")) >= LEAST_Z).orderBy(F.desc(F.abs(F.col("delta") / F.col("spread"))), "token").limit(MODEL)
+    told = counts.select("token", "seen", "y0", "y1", (odds("y1", n1) - odds("y0", n0)).alias("delta"), spread.alias("spread"))
+    told = told.where((F.abs(F.col("delta") / F.col("spread")) >= LEAST_Z) & (F.col("y0") + F.col("y1") >= LEAST_SEEN)).orderBy(F.desc(F.abs(F.col("delta") / F.col("spread"))), "token").limit(MODEL)
     chosen = told.collect()
     model = Scorer({r["token"]: r["delta"] - DRIFT for r in chosen}, 1.0)
     share = np.array([(r["seen"] + 0.5) / max(seen, 1) for r in chosen] + [0.0])
@@ -176,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
                 names=["toxic", "n", "best", "sums"],
             )
 
-    seen_rows = rows.mapInArrow(measure, "toxic int, n long, best double, sums array<double>").collect()
+    seen_rows = single.mapInArrow(measure, "toxic int, n long, best double, sums array<double>").collect()
     clean = [model.rate * r["best"] - np.log(max(r["n"], 1)) for r in seen_rows if not r["toxic"] and r["best"] > 0]
     model.log_k = float(np.mean(clean) - np.euler_gamma) if clean else 0.0
     x = np.array([model.evidence(r["n"], r["sums"]) for r in seen_rows])
@@ -210,7 +234,6 @@ def passages(docs: DataFrame, model: Scorer) -> DataFrame:
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    level = -np.log(-np.log1p(-SIGNIFICANT))
 
     def run(batches):
         scorer = shared.value
@@ -219,7 +242,7 @@ def passages(docs: DataFrame, model: Scorer) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found, parts = scorer.passages(text)
                 for start, end, total in parts:
-                    if scorer.rate * total - scorer.log_k - np.log(max(len(found), 1)) > level:
+                    if scorer.significant(len(found), total):
                         rows.append((doc, start, end - start, float(total), " ".join(found[start:end])))
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
