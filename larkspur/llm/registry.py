@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, language, lines, quality, rules, sql, toxicity
+from larkspur.llm import bpe, language, leaks, lines, quality, rules, sql, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,9 +11,11 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_decontamination": leaks.op10_decontamination,
 }
 
 ORACLES = {
     "op4_line_dedup": sql.op4(),
     "op8_quality_rules": sql.op8(),
+    "op10_decontamination": sql.op10(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larkspur.llm import leaks
 from larkspur.llm.rules import RULES, STOP_WORDS, SYMBOLS
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
@@ -49,3 +50,33 @@ o AS (SELECT s.doc_id, count(r.tmpl) AS n_removed, coalesce(string_agg(s.line, c
 SELECT doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
 """
+
+
+def op10() -> str:
+    chars = leaks.PUNCTUATION.replace("'", "''")
+    word = r"[^\x20\x09-\x0D]"
+
+    def canonical(source: str, key: str) -> str:
+        named = rf"regexp_replace(coalesce(text, ''), '{leaks.NAME}', '\1' || chr(1) || '\2', 'g')"
+        valued = f"lower(translate({named}, '{chars}', ''))"
+        return rf"""SELECT CAST({key} AS BIGINT) AS {key}, regexp_extract_all(x, '{word}+') AS v,
+  list_transform(regexp_extract_all(y, '{word}+'), lambda z: replace(z, chr(2), '')) AS t
+  FROM (SELECT {key}, x, regexp_replace(regexp_replace(' ' || regexp_replace(regexp_replace(x, '{word}*[0-9]{word}*', '<num>', 'g'), chr(1) || '{word}+', '<name>', 'g'),
+    '<num> ({"|".join(leaks.UNITS)})([\x20\x09-\x0D])', '<num> <unit>\2', 'g'), '<num> ({"|".join(leaks.UNITS)})$', '<num> <unit>', 'g') AS y
+  FROM (SELECT {key}, {valued} AS x FROM {source}))"""
+
+    return rf"""
+WITH d AS MATERIALIZED ({canonical("documents", "doc_id")}),
+b AS MATERIALIZED ({canonical("benchmark", "item_id")}),
+i AS (SELECT item_id, v, t, least(len(t), {leaks.WINDOW}) AS w, unnest(range(1, len(t) - least(len(t), {leaks.WINDOW}) + 2)) AS p FROM b WHERE len(t) >= {leaks.SHORTEST}),
+iw AS MATERIALIZED (SELECT item_id, w, p, len(t) - w + 1 AS n_windows, t[p:p + w - 1] AS tw, v[p:p + w - 1] AS vw FROM i
+  WHERE len(list_filter(t[p:p + w - 1], lambda z: z NOT IN ('<num>', '<name>', '<unit>'))) >= least({leaks.LITERALS}, w - 1)),
+s AS (SELECT DISTINCT w FROM iw),
+dw AS (SELECT doc_id, w, q, t[q:q + w - 1] AS tw, v[q:q + w - 1] AS vd FROM (SELECT doc_id, v, t, w, unnest(range(1, len(t) - w + 2)) AS q FROM d, s)),
+m AS MATERIALIZED (SELECT doc_id, item_id, q - p AS shift, p, n_windows, w, iw.tw, vw, vd FROM dw JOIN iw USING (w, tw)),
+x AS (SELECT DISTINCT doc_id, item_id, shift, vw[k] AS a, vd[k] AS z FROM (SELECT *, unnest(range(1, w + 1)) AS k FROM m) WHERE tw[k] IN ('<num>', '<name>', '<unit>')),
+c AS (SELECT doc_id, item_id, shift, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT z) AS fits, bool_or(a <> z) AS changed FROM x GROUP BY ALL),
+g AS (SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(count(DISTINCT p) AS BIGINT) AS n_held, bool_or(coalesce(changed, false)) AS reparameterised
+  FROM m LEFT JOIN c USING (doc_id, item_id, shift) WHERE coalesce(fits, true) GROUP BY doc_id, item_id)
+SELECT * FROM g WHERE n_held >= {leaks.SHARE} * n_windows AND n_held >= least({leaks.LEAST}, n_windows)
+"""
