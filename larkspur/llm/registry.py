@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, language, leaks, lines, quality, rules, sql, toxicity
+from larkspur.llm import bpe, language, leaks, lines, quality, rules, sql, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
