@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, language, leaks, lines, quality, rules, sql, suffixes, toxicity
+from larkspur.llm import bpe, language, leaks, lines, quality, recompression, rules, sql, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_substring_dedup": recompression.op5_substring_dedup,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": rules.op8_quality_rules,
