@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, language, leaks, lines, quality, recompression, rules, sql, suffixes, toxicity
+from larkspur.llm import bpe, language, leaks, lines, near, quality, recompression, rules, sql, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_near_dedup": near.op3_near_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_substring_dedup": recompression.op5_substring_dedup,
     "op6_language_id": language.op6_language_id,
