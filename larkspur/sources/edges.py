@@ -62,6 +62,10 @@ def _ordered(spark: SparkSession, path: str) -> DataFrame:
     return classified(at)
 
 
+def _place(at) -> Column:
+    return F.struct(F.lit(at["file_path"]).alias("file_path"), F.lit(at["file_block_start"]).cast("long").alias("file_block_start"), F.lit(at["row"]).cast("long").alias("row"))
+
+
 def _check(spark: SparkSession, path: str) -> int:
     """Number of headers; raises at the first line that is neither edge, comment, blank nor a first header."""
     rows = classified(_lines(spark, path))
@@ -75,12 +79,11 @@ def _check(spark: SparkSession, path: str) -> int:
     legal = seen["header"] if seen["header"] and (not seen["edge"] or tuple(seen["header"]) < tuple(seen["edge"])) else None
     odd = rows.where("kind IN ('header', 'bad')")
     if legal:
-        odd = odd.where(F.col("at") != F.struct(F.lit(legal[0]), F.lit(legal[1]), F.lit(legal[2])))
+        odd = odd.where(F.col("at") != _place(legal))
     bad = odd.agg(F.min(F.struct("at", "value")).alias("bad")).first()["bad"]
     if bad is None:
         return 1
-    place = F.struct(*[F.lit(x) for x in bad["at"]])
-    number = rows.where(F.col("at") <= place).count()
+    number = rows.where(F.col("at") <= _place(bad["at"])).count()
     raise EdgeListError(f"invalid edge at {path}:{number}: {bad['value']}")
 
 
