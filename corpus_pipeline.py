@@ -54,9 +54,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, stage = documents(spark, sf_dir), Stage(spark)
-    for number, (_, apply) in enumerate(STAGES, 1):
+    docs, stage, before = documents(spark, sf_dir), Stage(spark), None
+    for _, apply in STAGES:
         docs = stage.cut(apply(spark, docs, sf_dir))
-        if number > 1:
-            stage.drop(number - 1)
+        if before is not None:
+            stage.drop(before)
+        before = docs
     return docs

@@ -49,12 +49,14 @@ class Stage:
         df.write.option("compression", "zstd").parquet(path)
         # Shuffle files of the finished query go once the JVM sees that nothing refers to them.
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._staged_at = path
+        return back
 
-    def drop(self, *numbers: int) -> None:
+    def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for n in numbers:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table._staged_at)
             path.getFileSystem(conf).delete(path, True)

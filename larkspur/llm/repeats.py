@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, scheme) -> DataFrame:
     schema = T.StructType().add("doc_id", "long").add("tag", "long").add("text", "binary").add("whole", T.ArrayType(T.LongType())).add("asks", asks)
     joined = slim.join(known, slim["doc_id"].eqNullSafe(known["_id"]) & (slim["tag"] == known["_tag"]), "left").select("doc_id", "tag", "text", "known")
     passed = stage.cut(joined.mapInArrow(_first_pass(scheme, fields), T.StructType(schema.fields + fields)))  # 3
-    stage.drop(1, 2)
+    stage.drop(shared, bodies)
     ask = passed.select("doc_id", "tag", F.explode("asks").alias("a")).select("doc_id", "tag", "a.*")
     cold = ask.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(scheme), "doc_id long, tag long, lo long, hi long")
     windows = ask.where("hot").mapInArrow(_windows(scheme), "k1 long, k2 long, doc_id long, tag long, at long, asked boolean")

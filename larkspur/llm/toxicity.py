@@ -149,12 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         return Scorer({}, 1.0)
 
     def sketch(batches):
-        """The least of the hashes of a text's long tokens, by several hashes: near copies share most of them."""
+        """The least of the hashes of a text's runs of three tokens, by several hashes: near copies share most of them."""
         for batch in batches:
             least = []
             for text in batch.column("text").to_pylist():
-                long = {t.encode() for t in tokens(text) if len(t) >= 8} or {bytes(text or b"")}
-                least.append([min(xxhash.xxh3_64_intdigest(t, seed=k) for t in long) >> 1 for k in range(SKETCHES)])
+                found = tokens(text)
+                threes = {" ".join(t).encode() for t in zip(found, found[1:], found[2:])} or {bytes(text or b"")}
+                least.append([min(xxhash.xxh3_64_intdigest(t, seed=k) for t in threes) >> 1 for k in range(SKETCHES)])
             cols = [pa.array([x[k] for x in least], pa.int64()) for k in range(SKETCHES)]
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), *cols], names=["text", "toxic", *[f"s{k}" for k in range(SKETCHES)]])
 
