@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": sql.op2(),
+    "op3_near_dedup": sql.op3(),
     "op4_line_dedup": sql.op4(),
+    "op5_substring_dedup": sql.op5(),
     "op8_quality_rules": sql.op8(),
     "op10_decontamination": sql.op10(),
 }

@@ -80,3 +80,47 @@ g AS (SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(
   FROM m LEFT JOIN c USING (doc_id, item_id, shift) WHERE coalesce(fits, true) GROUP BY doc_id, item_id)
 SELECT * FROM g WHERE n_held >= {leaks.SHARE} * n_windows AND n_held >= least({leaks.LEAST}, n_windows)
 """
+
+
+def op2(window: int = 200) -> str:
+    """Texts as hexadecimal digits, two for each byte; x holds every window, c the covered bytes."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, md5(substr(t, 2 * i + 1, {2 * window})) AS h FROM (SELECT doc_id, t, unnest(range(0, n - {window - 1})) AS i FROM d)),
+r AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {window}, true) AS fresh FROM x JOIN r USING (h)),
+g AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s),
+c AS MATERIALIZED (SELECT doc_id, span, min(i) AS a, max(i) + {window} AS b FROM g GROUP BY ALL),
+k AS (SELECT d.doc_id, t, n, span, a, b, coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY span), 0) AS last FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+o AS (SELECT doc_id, n, coalesce(sum(b - a), 0) AS n_removed, count(span) AS n_spans,
+  CASE WHEN count(span) = 0 THEN any_value(t) ELSE string_agg(substr(t, 2 * last + 1, 2 * (a - last)), '' ORDER BY span) || substr(any_value(t), 2 * max(b) + 1) END AS kept FROM k GROUP BY doc_id, n)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM o
+"""
+
+
+def op3(size: int = 4, similarity: int = 80) -> str:
+    """All pairs with a shingle in common; fine for small tables only."""
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT CAST(doc_id AS BIGINT) AS doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + {size - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {similarity} * (x.n + y.n - k)),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT a AS doc_id, min(b) AS least FROM c GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(least, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op5(window: int = 35) -> str:
+    return rf"""
+WITH d AS MATERIALIZED (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+r AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS i, true AS gone FROM (SELECT doc_id, i FROM x JOIN r USING (h)), (SELECT unnest(range(0, {window})) AS k)),
+o AS (SELECT doc_id, i, word, gone FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) LEFT JOIN c USING (doc_id, i)),
+g AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept FROM o GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
