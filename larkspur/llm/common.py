@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: White space that ends a word, as a Java and RE2 class; fixed by the contracts of the queries.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def words(text):
     """Array of the words of a text column; empty where there is none."""
-    trimmed = F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+    trimmed = F.btrim(text, F.lit(BLANKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 

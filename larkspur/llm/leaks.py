@@ -14,7 +14,8 @@ Only windows that met are shuffled further; texts of documents with a match are
 
 Null and empty texts have no windows; items shorter than WINDOW tokens match as a whole if they have
 SHORTEST tokens, others never; items whose windows have fewer than LITERALS words that are no placeholders
-leave those windows out; repeated items and documents each count, told apart by id; ties cannot occur;
+leave those windows out; repeated items and documents each count, told apart by id (texts that share a doc_id
+are aligned apart and reported together); documents without an id are never reported; ties cannot occur;
 further columns are ignored.
 """
 
@@ -23,16 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents
+from larkspur.llm.common import documents, words
 
-WINDOW, SHARE, LEAST, SHORTEST, LITERALS, SMALL = 8, 0.3, 3, 4, 4, 200_000
+WINDOW, SHARE, LEAST, SHORTEST, LITERALS, SMALL = 8, 0.3, 3, 4, 4, 50_000
 
 # Units that follow a number, and punctuation that carries no meaning here.
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms usd eur gbp percent degrees dollars euros hours minutes seconds days weeks months years meters metres miles grams litres liters".split()
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NAME = r"([\p{Ll},;:] )(\p{Lu}\p{L}*)"
 MARK = "\u0001"
-SPACES = r"[\x20\x09-\x0D]+"
 
 
 def canonical(text: Column) -> tuple[Column, Column]:
@@ -41,26 +41,23 @@ def canonical(text: Column) -> tuple[Column, Column]:
     valued = F.lower(F.translate(named, PUNCTUATION, ""))
     # Possessive parts and look-behinds only save work; they match what the plain patterns match.
     start, end, word = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])", r"[^\x20\x09-\x0D]"
-    typed = F.regexp_replace(valued, rf"{start}[^\x20\x09-\x0D0-9]*+[0-9]{word}*+", "<num>")
-    typed = F.regexp_replace(typed, rf"{MARK}{word}++", "<name>")
-    typed = F.regexp_replace(typed, rf"(?<=<num> )(?:{'|'.join(UNITS)}){end}", "<unit>")
-    return valued, typed
+    named_only = lambda x: F.regexp_replace(x, rf"{MARK}{word}++", "<name>")
+    numbers = F.regexp_replace(valued, rf"{start}[^\x20\x09-\x0D0-9]*+[0-9]{word}*+", "<num>")
+    typed = F.regexp_replace(named_only(numbers), rf"(?<=<num> )(?:{'|'.join(UNITS)}){end}", "<unit>")
+    # Texts without a digit, the most of them, have neither numbers nor units.
+    return valued, F.when(text.rlike("[0-9]"), typed).otherwise(named_only(valued))
 
 
-def _tokens(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, rf"^{SPACES}|{SPACES}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
+def _windows(size: int) -> str:
+    """SQL for an array of the hashes of all windows of `t` of that many tokens: hashes of their tokens' hashes."""
+    tokens = ", ".join(f"h[i + {k}]" for k in range(size))
+    hashed = f"transform(array(transform(t, x -> xxhash64(x))), h -> transform(sequence(0, size(h) - {size}), i -> xxhash64({tokens})))[0]"
+    return f"CASE WHEN size(t) >= {size} THEN {hashed} ELSE array() END"
 
 
-def _windows(sizes: list[int]) -> str:
-    """SQL for an array of arrays of hashes: for each window size, the hash of the window at each place of `t`."""
-    one = lambda w: f"CASE WHEN size(t) >= {w} THEN transform(sequence(1, size(t) - {w - 1}), i -> xxhash64(slice(t, i, {w}))) ELSE array() END"
-    return f"array({', '.join(one(w) for w in sizes)})"
-
-
-def _placed(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, size, place and hash of every window of rows' `t`."""
-    parts = [rows.select(key, F.lit(w).alias("size"), F.posexplode(F.expr(_windows([w]))[0]).alias("at", "hash")) for w in sizes]
+def _placed(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """keys, size, place and hash of every window of rows' `t`."""
+    parts = [rows.select(*keys, F.lit(w).alias("size"), F.posexplode(F.expr(_windows(w))).alias("at", "hash")) for w in sizes]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -71,13 +68,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     """doc_id, item_id, windows of the item, how many of them the document holds, and whether values differ (re-parameterised)."""
     spark = docs.sparkSession
     valued, typed = canonical(F.col("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _tokens(valued).alias("v"), _tokens(typed).alias("t")).where(F.size("t") >= SHORTEST)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(valued).alias("v"), words(typed).alias("t")).where(F.size("t") >= SHORTEST)
     short = sorted(r[0] for r in items.where(F.size("t") < WINDOW).select(F.size("t")).distinct().collect())  # sizes under WINDOW: a handful
     sizes = [*short, WINDOW]
     asked = None
     for w in sizes:
         own = items.where(F.size("t") == w) if w < WINDOW else items.where(F.size("t") >= WINDOW)
-        own = own.select("item_id", F.col("v").alias("iv"), F.col("t").alias("it"), F.lit(w).alias("size"), F.size("t").alias("n"), F.posexplode(F.expr(_windows([w]))[0]).alias("item_at", "hash"))
+        own = own.select("item_id", F.col("v").alias("iv"), F.col("t").alias("it"), F.lit(w).alias("size"), F.size("t").alias("n"), F.posexplode(F.expr(_windows(w))).alias("item_at", "hash"))
         asked = own if asked is None else asked.union(own)
     kinds = F.array(F.lit("<num>"), F.lit("<name>"), F.lit("<unit>"))
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size"))
@@ -88,18 +85,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     else:
         keys = asked.select("size", "hash").distinct()
     # Documents: windows that meet one of the benchmark's.
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = _placed(slim.select("doc_id", _tokens(typed).alias("t")), "doc_id", sizes).join(keys, ["size", "hash"], "left_semi")
-    places = met.groupBy("doc_id").agg(F.collect_list(F.struct("size", "hash", "at")).alias("met"))
-    # The values behind the placeholders, for those documents alone.
-    again = slim.join(places, "doc_id").select("doc_id", _tokens(valued).alias("v"), "met")
-    again = again.select("doc_id", F.explode(F.transform("met", lambda m: F.struct(m["size"].alias("size"), m["hash"].alias("hash"), m["at"].alias("at"), F.slice("v", m["at"] + 1, m["size"]).alias("dv")))).alias("m"))
-    again = again.select("doc_id", "m.*")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    met = _placed(slim.select("doc_id", "tag", words(typed).alias("t")), ["doc_id", "tag"], sizes).join(keys, ["size", "hash"], "left_semi")
+    places = met.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("size", "hash", "at")).alias("met"))
+    # The values behind the placeholders, for those documents alone (a row given twice adds nothing to the sets below).
+    again = slim.join(places, ["doc_id", "tag"]).select("doc_id", "tag", words(valued).alias("v"), "met")
+    again = again.select("doc_id", "tag", F.explode(F.transform("met", lambda m: F.struct(m["size"].alias("size"), m["hash"].alias("hash"), m["at"].alias("at"), F.slice("v", m["at"] + 1, m["size"]).alias("dv")))).alias("m"))
+    again = again.select("doc_id", "tag", "m.*")
     pairs = again.join(F.broadcast(asked) if asked.count() <= SMALL else asked, ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("it", "iv", "dv"), lambda x: F.array_contains(kinds, x["it"]))
-    pairs = pairs.select("doc_id", "item_id", "shift", "item_at", "n_windows", F.transform(slots, lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d"))).alias("slots"))
+    pairs = pairs.select("doc_id", "tag", "item_id", "shift", "item_at", "n_windows", F.transform(slots, lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d"))).alias("slots"))
     # One alignment of one item with one document: as many rows as the item has windows.
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values"))
+    aligned = pairs.groupBy("doc_id", "tag", "item_id", "shift").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values"))
     distinct = lambda f: F.size(F.array_distinct(F.transform("values", lambda x: x[f])))
     aligned = aligned.where((F.size("values") == distinct("i")) & (F.size("values") == distinct("d")))
     changed = F.exists("values", lambda x: x["i"] != x["d"])
