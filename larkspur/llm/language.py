@@ -4,8 +4,8 @@ Each learned language gets a codeword of +1 and -1. For every bit a binary class
 trigrams learns whether a text belongs to the languages with +1 there; a text's margins are decoded to
 the codeword of least weighted logistic loss. `ambiguous` marks texts whose winner is not clear.
 
-Training takes a bounded sample, SAMPLE texts a language at most, picked by a hash of doc_id among the
-rows with a language that are not held out; the sample is all that the driver sees, and the model is a
+Training takes a bounded sample, SAMPLE texts a language at most (in expectation) of the LANGS commonest
+languages, picked by a hash of doc_id among the rows with a language that are not held out; the sample is all that the driver sees, and the model is a
 fixed table of BUCKETS x bits floats. Prediction is one Arrow pass without a shuffle.
 
 Texts that are null or have no letters get `und` and 0; so does everything when no row has a language.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.common import documents
 
-BUCKETS, SAMPLE, CLEAR = 1 << 15, 300, 0.6
+BUCKETS, SAMPLE, LANGS, CLEAR = 1 << 15, 300, 256, 0.6
 LETTER = regex.compile(r"\p{L}")
 RESULTS = ("lang_pred", "score", "ambiguous")
 
@@ -97,7 +97,7 @@ class Coder:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Coder:
     """Fit on rows that have a language and are not held out, `sample` of each language at most (in expectation)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not sizes:
         return Coder([])
     part = F.lit(0.0)
