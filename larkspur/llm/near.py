@@ -8,11 +8,15 @@ compared exhaustively; larger nodes branch again, up to DEPTH times.
 
 Only components are asked for, so pairs already known to be connected need no comparison:
 
-1. at every node each member is compared with the node's least member; confirmed links are contracted;
+1. at every node each member is compared with the node's least member and with one drawn by a hash, so a
+   group with one odd member is still met; confirmed links are contracted;
 2. at small nodes (of the deepest branching needed) all pairs that still lie in different components are
    compared; so are, at nodes that stay large at the last depth, members of different components, pair by
    pair in an equi-join that AQE may split.
 
+Before texts are fetched for a comparison, pairs whose set sizes rule the similarity out go (no pair that
+counts is lost), then pairs whose sketches of BINS least tokens agree in so few bins that the similarity
+would be more than SIGMAS standard deviations off (one in 10^9 at the threshold, less above it).
 Every comparison is exact, on full sets. A pair at the very threshold is missed by one tree with a chance
 of at most 0.37 at the first depth (0.53 and 0.63 at the next two), by all 20 trees with 2e-9 (3e-6, 1e-4).
 
@@ -35,6 +39,8 @@ from larkspur.llm.recompression import word_names, word_places
 
 SHINGLE, SIMILARITY = 5, 80  # in words; in hundredths
 TREES, DEPTH, SMALL = 20, 3, 40
+BINS, SIGMAS = 128, 6.0
+HELD = 4_000_000  # tokens of sets that a task remembers
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -82,6 +88,37 @@ def paths(tokens: np.ndarray, similarity: int, trees: int, depth: int) -> list[t
     return out
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of BINS equal ranges of fingerprints, 7 bits of the least token in it; 0 where there is none."""
+    edges = np.arange(BINS, dtype=np.uint64) << U(64 - BINS.bit_length() + 1)
+    at = np.searchsorted(tokens, edges)
+    ends = np.append(at[1:], len(tokens))
+    full = at < ends
+    out = np.zeros(BINS, np.uint8)
+    out[full] = (B.mix(tokens[at[full]]) >> U(57)).astype(np.uint8) | 128
+    return out.tobytes()
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) that their sizes and sketches do not rule out."""
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a")
+    rows = rows.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)).select("a", "b", "sa", "sb")
+    share = similarity / 100
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+            used = ((sa | sb) > 0).sum(axis=1)
+            same = ((sa == sb) & (sa > 0)).sum(axis=1)
+            keep = pa.array(same >= share * used - SIGMAS * np.sqrt(share * (1 - share) * used))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _sketches(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     longs = pa.list_(pa.int64())
 
@@ -92,36 +129,52 @@ def _sketches(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
                 tokens = shingles(text, shingle)
                 levels = paths(tokens, similarity, TREES, DEPTH)
                 s1, s2 = (int(B.mix(tokens * U(k) + U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 3))
-                out.append((len(tokens), s1, s2, *(B.signed(x) for level in levels for x in level)))
-            cols = list(zip(*out)) or [()] * (3 + 2 * DEPTH)
-            kinds = [pa.int64()] * 3 + [longs] * (2 * DEPTH)
-            names = ["n", "s1", "s2"] + [f"{x}{d}" for d in range(1, DEPTH + 1) for x in "pk"]
+                out.append((len(tokens), s1, s2, sketch(tokens), *(B.signed(x) for level in levels for x in level)))
+            cols = list(zip(*out)) or [()] * (4 + 2 * DEPTH)
+            kinds = [pa.int64()] * 3 + [pa.binary()] + [longs] * (2 * DEPTH)
+            names = ["n", "s1", "s2", "sketch"] + [f"{x}{d}" for d in range(1, DEPTH + 1) for x in "pk"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
 
     levels = ", ".join(f"p{d} array<long>, k{d} array<long>" for d in range(1, DEPTH + 1))
-    return docs.mapInArrow(run, f"doc_id long, n long, s1 long, s2 long, {levels}")
+    return docs.mapInArrow(run, f"doc_id long, n long, s1 long, s2 long, sketch binary, {levels}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough. `a`, the commoner side, is read once for a run of rows."""
+def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage, shingle: int, similarity: int) -> DataFrame:
+    """Of staged pairs (a, b), those whose full sets are similar enough; only their texts are shuffled."""
 
     def run(batches):
-        known, left = None, np.zeros(0, np.uint64)
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(doc, text):
+            """The set of a text; those met last are remembered, up to HELD tokens."""
+            nonlocal held
+            if doc not in sets:
+                found = shingles(text.as_py(), shingle)
+                if held + len(found) > HELD:
+                    sets.clear()
+                    held = 0
+                sets[doc] = found
+                held += len(found)
+            return sets[doc]
+
         for batch in batches:
             a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
             a, b, keep = a.to_pylist(), b.to_pylist(), []
             for i in range(len(a)):
-                if a[i] != known:
-                    known, left = a[i], shingles(ta[i].as_py(), shingle)
-                right = shingles(tb[i].as_py(), shingle)
+                left, right = of(a[i], ta[i]), of(b[i], tb[i])
                 common = len(left) + len(right) - len(np.union1d(left, right))
                 if 100 * common >= similarity * (len(left) + len(right) - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stage.cut(docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    found = stage.cut(rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long"))
+    stage.drop(texts)
+    return found
 
 
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
@@ -142,11 +195,6 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
         before = now
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """node members with their component so far."""
-    return nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     stage = Stage(docs.sparkSession)
@@ -154,37 +202,48 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     sketches = stage.cut(_sketches(slim, shingle, similarity))
     classes = stage.cut(sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class")).where("class IS NOT NULL"))
-    ids = classes.select(F.col("class").alias("id"))
-    level = lambda d: sketches.select(F.col("doc_id").alias("id"), F.arrays_zip(f"p{d}", f"k{d}").alias("z")).join(ids, "id", "left_semi")
-    nodes = level(1).select("id", F.explode("z.k1").alias("k")).distinct()
-    shared = nodes.groupBy("k").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
-    nodes = stage.cut(nodes.join(shared, "k"))  # 3
-    texts = stage.cut(slim.join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    # Every member against the least of its node.
-    stars = nodes.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = stage.cut(_verified(stars, texts, shingle, similarity))
+    # One row stands for each class from here on.
+    heads = sketches.where("n > 0").join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = stage.cut(heads)
+    own = stage.cut(sketches.select("doc_id", "n", "s1", "s2"))
+    stage.drop(sketches)
+
+    def level(d: int, among: DataFrame | None = None) -> DataFrame:
+        """Of all heads, or of those `among` (id): the nodes at depth d and their parents."""
+        rows = heads.select(F.col("doc_id").alias("id"), "n", f"p{d}", f"k{d}")
+        rows = rows if among is None else rows.join(among, "id", "left_semi")
+        return rows.select("id", "n", F.explode(F.arrays_zip(f"p{d}", f"k{d}")).alias("z")).select("id", "n", F.col(f"z.p{d}").alias("p"), F.col(f"z.k{d}").alias("k"))
+
+    nodes = level(1).select("id", "n", "k").distinct()
+    shared = stage.cut(nodes.groupBy("k").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.min(F.struct(F.xxhash64("id"), "id")).alias("drawn")).where("members > 1"))
+    nodes = stage.cut(nodes.join(shared, "k"))
+    # Every member against two of its node.
+    hubs = nodes.select("id", F.explode(F.array("least", "drawn.id")).alias("hub")).where("id <> hub")
+    stars = stage.cut(hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    links = _verified(stage.cut(_likely(stars, heads, similarity)), slim, stage, shingle, similarity)
     labels = stage.cut(components(links, stage))
-    # What may still be linked: nodes whose members lie in several components. The least members were compared.
-    last = nodes.select("k", "id", "members")
-    pairs = None
+    placed = lambda rows: rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("component"))
+    # What may still be linked: nodes whose members lie in several components.
+    last, pairs = nodes.select("k", "id", "n"), None
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     for d in range(1, DEPTH + 1):
-        mixed = _labelled(last.select("k", "id"), labels)
-        several = mixed.groupBy("k").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k", "members")
-        open_ = stage.cut(mixed.join(several, "k"))
+        mixed = stage.cut(placed(last))
+        several = stage.cut(mixed.groupBy("k").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k", "members"))
+        open_ = mixed.join(several, "k")
         ready = open_ if d == DEPTH else open_.where(F.col("members") <= SMALL)
-        left, right = ready.select("k", F.col("id").alias("a"), F.col("component").alias("ca")), ready.select("k", F.col("id").alias("b"), F.col("component").alias("cb"))
-        more = left.join(right, "k").where("a < b AND ca <> cb").select("a", "b")
+        side = lambda x: ready.select("k", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
+        more = side("a").join(side("b"), "k").where(fits).select("a", "b")
         pairs = more if pairs is None else pairs.union(more)
         if d < DEPTH:
             # Large nodes branch again: their members' nodes one level down.
             down = open_.where(F.col("members") > SMALL).select(F.col("k").alias("p"), "id")
-            deeper = level(d + 1).select("id", F.explode("z").alias("z")).select("id", F.col(f"z.p{d + 1}").alias("p"), F.col(f"z.k{d + 1}").alias("k"))
-            last = deeper.join(down, ["p", "id"]).select("k", "id").distinct()
-    rest = pairs.distinct().join(stars, ["a", "b"], "left_anti")
-    every = stage.cut(links.union(_verified(rest, texts, shingle, similarity)))
+            # Only documents of large nodes are exploded and shuffled.
+            last = level(d + 1, stage.cut(down.select("id").distinct())).join(down, ["p", "id"]).select("k", "id", "n").distinct()
+    rest = stage.cut(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
+    every = links.union(_verified(stage.cut(_likely(rest, heads, similarity)), slim, stage, shingle, similarity))
     final = stage.cut(components(every, stage))
-    own = sketches.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    out = own.join(final, own["class"] == final["node"], "left")
+    out = own.join(classes, ["s1", "s2"], "left")
+    out = out.join(final, out["class"] == final["node"], "left")
     of = F.when(F.col("n") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
