@@ -30,7 +30,8 @@ DEPTH, LEAST, SHARE, MIN_TOKENS = 3, 5, 0.2, 3
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """A row for each line that can be boilerplate: where it is, its leaf and template, its setting."""
     t = F.col("text")
-    masked = F.split(F.regexp_replace(t, VARIABLE, "<*>"), "\n")
+    # Texts without a digit, the most of them, need no search for variable fields.
+    masked = F.split(F.when(t.rlike("[0-9]"), F.regexp_replace(t, VARIABLE, "<*>")).otherwise(t), "\n")
     at = (
         docs.where(t.isNotNull())
         .select("doc_id", F.xxhash64(t).alias("text_key"), masked.alias("masked"))
@@ -59,8 +60,10 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shar
     """All columns of docs, text without the lines of recurring templates, and n_lines and n_removed."""
     stage = Stage(docs.sparkSession)
     lines = stage.cut(_lines(docs, depth, min_tokens))
+    # A table of its own, so that AQE can split the join's hot templates.
+    recurring = stage.cut(_recurring(lines, least, share))
     gone = (
-        lines.join(_recurring(lines, least, share), ["leaf", "tmpl"])
+        lines.join(recurring, ["leaf", "tmpl"])
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .agg(F.collect_set("pos").alias("_gone"))
     )
