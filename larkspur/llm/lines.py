@@ -1,8 +1,10 @@
-"""Line dedup (4): a log-template tree over the lines of all documents, in DataFrame functions alone.
+"""Line dedup (4): recurring lines, equal but for tokens with digits, in DataFrame functions alone.
 
 Every line walks a tree of fixed depth: first its token count, then its leading tokens, where a token
 that holds a digit counts as a variable field and becomes `<*>`. The leaf and the line with its
-variable fields masked make its template. A template is boilerplate if it stands in several documents,
+variable fields masked make its template. The leaf follows from the masked line, so lines meet only if
+they are equal after masking: nothing is merged inside a leaf, and a field whose values are words without
+digits makes a template for each value. A template is boilerplate if it stands in several documents,
 in at least `least` different settings (the templates before and after it), none of which has more than
 `share` of its occurrences. So copies of a whole document, whose lines always stand in the same
 setting, are left to the duplicate operators, while licence lines and site furniture go.
