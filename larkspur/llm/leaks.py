@@ -12,9 +12,12 @@ The scan makes one row of three numbers a window, without a shuffle while the be
 windows are broadcast only if there are at most SMALL of them, else both sides are shuffled on the hash.
 Only windows that met are shuffled further; texts of documents with a match are read once more.
 
-Null and empty texts have no windows; items shorter than WINDOW tokens match as a whole if they have
-SHORTEST tokens, others never; items whose windows have fewer than LITERALS words that are no placeholders
-leave those windows out; repeated items and documents each count, told apart by id (texts that share a doc_id
+Windows with fewer than LITERALS words that are no placeholders would meet too much as templates. They are
+searched by their words, values included, and count only for items that the other windows do not report
+(so dense items are found verbatim, and n_held of the others is what sql.op10() says, which leaves such windows out).
+
+Null and empty texts have no windows; items shorter than WINDOW tokens match as a whole, those of under
+SHORTEST tokens by their words, values included; repeated items and documents each count, told apart by id (texts that share a doc_id
 are aligned apart and reported together); documents without an id are never reported; ties cannot occur;
 further columns are ignored.
 """
@@ -33,6 +36,7 @@ UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms usd eur gb
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NAME = r"([\p{Ll},;:] )(\p{Lu}\p{L}*)"
 MARK = "\u0001"
+KINDS = ("<num>", "<name>", "<unit>")
 
 
 def canonical(text: Column) -> tuple[Column, Column]:
@@ -64,11 +68,33 @@ def _placed(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     return out
 
 
+def _slots(it: Column, iv: Column, dv: Column) -> Column:
+    """What the item and the document have for each placeholder."""
+    zipped = F.filter(F.arrays_zip(it.alias("it"), iv.alias("iv"), dv.alias("dv")), lambda x: x["it"].isin(*KINDS))
+    return F.transform(zipped, lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d")))
+
+
+def _verbatim(poor: DataFrame, slim: DataFrame, valued: Column) -> DataFrame:
+    """Windows of documents that hold a window of `poor` word for word."""
+    bare = lambda v: F.transform(v, lambda x: F.replace(x, F.lit(MARK), F.lit("")))
+    sizes = sorted(r[0] for r in poor.select("size").distinct().collect())  # WINDOW at most
+    asked = None
+    for w in sizes:
+        own = poor.where(F.col("size") == w).withColumn("t", bare("iv"))
+        own = own.withColumn("hash", F.expr(_windows(w))[0]).drop("t")
+        asked = own if asked is None else asked.union(own)
+    placed = _placed(slim.where("doc_id IS NOT NULL").select("doc_id", "tag", bare(words(valued)).alias("t")), ["doc_id", "tag"], sizes)
+    met = placed.join(F.broadcast(asked) if asked.count() <= SMALL else asked, ["size", "hash"])
+    # Where an item of one window stands does not matter.
+    shift = F.when(F.col("n_windows") == 1, 0).otherwise(F.col("at") - F.col("item_at"))
+    return met.select("doc_id", "tag", "item_id", shift.alias("shift"), "item_at", "n_windows", _slots(F.col("it"), F.col("iv"), F.col("iv")).alias("slots"), F.lit(False).alias("rich"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, windows of the item, how many of them the document holds, and whether values differ (re-parameterised)."""
     spark = docs.sparkSession
     valued, typed = canonical(F.col("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(valued).alias("v"), words(typed).alias("t")).where(F.size("t") >= SHORTEST)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(valued).alias("v"), words(typed).alias("t")).where(F.size("t") >= 1)
     short = sorted(r[0] for r in items.where(F.size("t") < WINDOW).select(F.size("t")).distinct().collect())  # sizes under WINDOW: a handful
     sizes = [*short, WINDOW]
     asked = None
@@ -76,10 +102,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         own = items.where(F.size("t") == w) if w < WINDOW else items.where(F.size("t") >= WINDOW)
         own = own.select("item_id", F.col("v").alias("iv"), F.col("t").alias("it"), F.lit(w).alias("size"), F.size("t").alias("n"), F.posexplode(F.expr(_windows(w))).alias("item_at", "hash"))
         asked = own if asked is None else asked.union(own)
-    kinds = F.array(F.lit("<num>"), F.lit("<name>"), F.lit("<unit>"))
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size"))
     asked = asked.select("item_id", "size", "hash", "item_at", (F.col("n") - F.col("size") + 1).alias("n_windows"), part("iv").alias("iv"), part("it").alias("it"))
-    asked = asked.where(F.size(F.filter("it", lambda x: ~F.array_contains(kinds, x))) >= F.least(F.lit(LITERALS), F.col("size") - 1))
+    literals = F.size(F.filter("it", lambda x: ~x.isin(*KINDS)))
+    rich = (F.col("size") >= SHORTEST) & (literals >= F.least(F.lit(LITERALS), F.col("size") - 1))
+    poor, asked = asked.where(~rich).drop("hash"), asked.where(rich)
+    sizes = sorted(r[0] for r in asked.select("size").distinct().collect()) or [WINDOW]
     if asked.count() <= SMALL:
         keys = F.broadcast(asked.select("size", "hash").distinct())
     else:
@@ -93,17 +121,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     again = again.select("doc_id", "tag", F.explode(F.transform("met", lambda m: F.struct(m["size"].alias("size"), m["hash"].alias("hash"), m["at"].alias("at"), F.slice("v", m["at"] + 1, m["size"]).alias("dv")))).alias("m"))
     again = again.select("doc_id", "tag", "m.*")
     pairs = again.join(F.broadcast(asked) if asked.count() <= SMALL else asked, ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
-    slots = F.filter(F.arrays_zip("it", "iv", "dv"), lambda x: F.array_contains(kinds, x["it"]))
-    pairs = pairs.select("doc_id", "tag", "item_id", "shift", "item_at", "n_windows", F.transform(slots, lambda x: F.struct(x["iv"].alias("i"), x["dv"].alias("d"))).alias("slots"))
+    pairs = pairs.select("doc_id", "tag", "item_id", "shift", "item_at", "n_windows", _slots(F.col("it"), F.col("iv"), F.col("dv")).alias("slots"), F.lit(True).alias("rich"))
+    if not poor.isEmpty():
+        pairs = pairs.union(_verbatim(poor, slim, valued))
     # One alignment of one item with one document: as many rows as the item has windows.
-    aligned = pairs.groupBy("doc_id", "tag", "item_id", "shift").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values"))
-    distinct = lambda f: F.size(F.array_distinct(F.transform("values", lambda x: x[f])))
-    aligned = aligned.where((F.size("values") == distinct("i")) & (F.size("values") == distinct("d")))
-    changed = F.exists("values", lambda x: x["i"] != x["d"])
-    found = aligned.withColumn("changed", changed).groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).cast("long").alias("n_held"), F.max("changed").alias("reparameterised")
+    at, slots = F.when(F.col("rich"), F.col("item_at")), F.when(F.col("rich"), F.col("slots"))
+    values = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    aligned = pairs.groupBy("doc_id", "tag", "item_id", "shift").agg(
+        F.max("n_windows").alias("n_windows"), F.collect_set(at).alias("held"), values(slots).alias("values"), F.collect_set("item_at").alias("all_held"), values("slots").alias("all_values")
+    )
+    distinct = lambda c, f: F.size(F.array_distinct(F.transform(c, lambda x: x[f])))
+    fits = lambda c: (F.size(c) == distinct(c, "i")) & (F.size(c) == distinct(c, "d"))
+    changed = lambda c: F.exists(c, lambda x: x["i"] != x["d"])
+    n = lambda held, values: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(fits(values), F.col(held)))))).cast("long")
+    enough = lambda x: (F.col(x) >= share * F.col("n_windows")) & (F.col(x) >= F.least(F.lit(LEAST), F.col("n_windows")))
+    found = aligned.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").cast("long").alias("n_windows"),
+        n("held", "values").alias("n_rich"),
+        n("all_held", "all_values").alias("n_all"),
+        F.max(F.when(fits("values") & (F.size("held") > 0), changed("values"))).alias("rich_changed"),
+        F.max(F.when(fits("all_values"), changed("all_values"))).alias("all_changed"),
+    )
+    either = lambda a, b: F.when(enough("n_rich"), F.col(a)).otherwise(F.col(b))
+    return found.where(enough("n_rich") | enough("n_all")).select(
+        "doc_id", "item_id", "n_windows", either("n_rich", "n_all").alias("n_held"), either("rich_changed", "all_changed").alias("reparameterised")
     )
-    return found.where((F.col("n_held") >= share * F.col("n_windows")) & (F.col("n_held") >= F.least(F.lit(LEAST), F.col("n_windows"))))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

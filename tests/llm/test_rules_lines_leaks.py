@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 
 from larkspur.llm import leaks, lines, rules, sql
 
@@ -76,6 +77,19 @@ def test_short_items_match_whole(spark, docs):
     assert [(r["doc_id"], r["item_id"], r["n_windows"]) for r in found] == [(1, 9, 1)]
 
 
+DENSE = "17 4 1989 23 5 1991 8 12 2004 30 1 2011"
+
+
+@pytest.mark.parametrize("small", [leaks.SMALL, 0])
+def test_items_dense_in_values_match_verbatim(spark, docs, monkeypatch, small):
+    monkeypatch.setattr(leaks, "SMALL", small)
+    rows = [(1, "The dates are " + DENSE + " and so on"), (2, DENSE.replace("1", "6")), (3, "It is said that Ann Bob Cy Dee Eve Flo went. 2 + 2 = 4!"), (4, "Nobody knows 2 and 4"), (None, DENSE)]
+    items = [(1, DENSE), (2, "Ann Bob Cy Dee Eve Flo"), (3, "2+2"), (4, "2 + 2 = 4"), (5, "Nobody knows")]
+    found = {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(docs(rows), bench(spark, items)).collect()}
+    assert found.keys() == {(1, 1), (3, 2), (3, 4), (4, 5)}
+    assert (found[(1, 1)]["n_windows"], found[(1, 1)]["n_held"]) == (5, 5) and not any(r["reparameterised"] for r in found.values())
+
+
 def test_large_benchmarks_are_shuffled(spark, docs, monkeypatch):
     monkeypatch.setattr(leaks, "SMALL", 0)
     assert [r["doc_id"] for r in leaks.leaks(docs([(1, ITEM), (2, "x")]), bench(spark, [(1, ITEM)])).collect()] == [1]
