@@ -11,6 +11,8 @@ import numpy as np
 U = np.uint64
 #: Odd multipliers of the two polynomial fingerprints and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Windows that get their anchors together; places of anchors must fit 24 bits.
+PIECE = 1 << 22
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
 
@@ -105,11 +107,26 @@ class Blocks:
         self.row, self.start, self.count, self.anchor, self.body = row, start, count, anchor, body
 
 
+def joined(parts: list[Blocks]) -> Blocks:
+    return Blocks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "start", "count", "anchor", "body")))
+
+
 def byte_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Blocks:
     """Windows of `window` bytes, anchored at the leftmost of their least `gram`-byte strings."""
     empty = np.zeros(0, np.int64)
     if len(data) < window:
         return Blocks(empty, empty, empty, empty, empty)
+    if len(data) - window + 1 > PIECE:
+        # Pieces overlap by a window less one byte, so each window lies in one piece; blocks may be cut, which repeats allows.
+        parts = []
+        for lo in range(0, len(data) - window + 1, PIECE):
+            hi = min(lo + PIECE + window - 1, len(data))
+            own = np.flatnonzero((ends > lo) & (starts < hi))
+            part = byte_blocks(data[lo:hi], np.maximum(starts[own], lo) - lo, np.minimum(ends[own], hi) - lo, window, gram)
+            part.row = own[part.row]
+            part.start = part.start + np.maximum(lo - starts[part.row], 0)
+            parts.append(part)
+        return joined(parts)
     one = Prefix(data.astype(np.uint64) + U(1), 0)
     grams = one.all(gram)
     # Order by 40 bits of the fingerprint, then by place; so the least key also tells where it stands.

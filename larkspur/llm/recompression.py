@@ -83,6 +83,15 @@ def word_blocks(names: np.ndarray, text: np.ndarray, window: int) -> B.Blocks:
     n = len(names) - window + 1
     if n < 1:
         return B.Blocks(empty, empty, empty, empty, empty)
+    if n > B.PIECE:
+        # As in byte_blocks; a border depends on words of its window alone, so pieces have the same ones.
+        parts = []
+        for lo in range(0, n, B.PIECE):
+            own = text[lo : lo + B.PIECE + window - 1]
+            part = word_blocks(names[lo : lo + B.PIECE + window - 1], own, window)
+            part.start = part.start + np.where(part.row == own[0], lo - np.searchsorted(text, own[0]), 0)
+            parts.append(part)
+        return B.joined(parts)
     around = B.Prefix(names, 0)
     borders = symbols(names, text)
     borders = borders[(borders >= REACH) & (borders + REACH <= len(names))]

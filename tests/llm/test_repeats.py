@@ -108,3 +108,39 @@ def test_blocks_cover_every_window_once():
             assert start == at and 0 < count <= 137
             at += count
         assert at == max(0, len(text) - 199)
+
+
+def windows_of(found):
+    """Text, place and anchor of each window; blocks that a cut parted count as one."""
+    row, count = np.repeat(found.row, found.count), np.asarray(found.count)
+    at = np.repeat(found.start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    order = np.lexsort((at, row))
+    return row[order], at[order], np.repeat(found.anchor, count)[order]
+
+
+@pytest.mark.parametrize("piece", [50, 333, 1000])
+def test_pieces_of_long_texts_have_the_same_anchors(monkeypatch, piece):
+    rng = np.random.default_rng(5)
+    sizes = np.array([3, 900, 0, 1500, 40, 700])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    data, text = rng.integers(97, 100, ends[-1]).astype(np.uint8), np.repeat(np.arange(len(sizes)), sizes)
+    data[1000:1200] = 97  # a run
+    names = B.mix(data.astype(np.uint64) + np.uint64(1))
+    whole = windows_of(B.byte_blocks(data, starts, ends, 40, 16)), windows_of(R.word_blocks(names, text, 35))
+    monkeypatch.setattr(B, "PIECE", piece)
+    parts = windows_of(B.byte_blocks(data, starts, ends, 40, 16)), windows_of(R.word_blocks(names, text, 35))
+    for a, b in zip(whole, parts):
+        assert all((x == y).all() for x, y in zip(a, b))
+
+
+def test_places_beyond_24_bits(monkeypatch):
+    far, size = (1 << 24) + 3000, (1 << 24) + 5000
+    data = np.random.default_rng(6).integers(97, 123, size).astype(np.uint8)
+    data[far : far + 400] = data[1000:1400]
+    found = B.byte_blocks(data, np.array([0]), np.array([size]), 200, 64)
+    names = B.mix(data.astype(np.uint64) + np.arange(size, dtype=np.uint64) * np.uint64(256))
+    names[far : far + 400] = names[1000:1400]
+    for found, last in ((found, 201), (R.word_blocks(names, np.zeros(size, np.int64), 35), 366)):
+        _, at, anchor = windows_of(found)
+        assert len(at) == at[-1] + 1 and (anchor[far : far + last] == anchor[1000 : 1000 + last]).all()
