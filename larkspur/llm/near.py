@@ -22,7 +22,9 @@ of at most 0.37 at the first depth (0.53 and 0.63 at the next two), by all 20 tr
 
 Null and empty texts have no shingles and are linked with nothing; texts of fewer words than a shingle
 count as one; a very long text has one large set and is read whole; ties of a component go to the least
-doc_id; rows with the same doc_id and set share a component; rows without a doc_id get the component of their
+doc_id; rows with the same doc_id and set share a component; of different sets under one least doc_id only one is
+searched, so links of the others may be lost, and so may links through a set that only rows without a
+doc_id have; rows without a doc_id get the component of their
 set, with a null kept, and are never dropped; further columns are
 ignored; an empty table gives an empty result.
 """
