@@ -1,10 +1,14 @@
-"""What the corpus operators share: input columns, staged tables and byte-level hashing."""
+"""What the corpus operators share: input columns, staged tables and names of words."""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +16,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
+#: Rows of two or three numbers that may be broadcast; larger tables are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Words that a worker remembers the names of.
+REMEMBERED = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents; one that comes in fewer pieces than there are cores is dealt out over them."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -29,35 +40,118 @@ def words(text):
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Each of the names, lengthened until no column of docs is called so."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def at_most(rows: DataFrame, n: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The table of n rows, marked for broadcast if they are few; n is a count and no guess."""
+    return F.broadcast(rows) if n <= limit else rows.hint("merge")
+
+
+class WordNames(dict):
+    """64-bit names of words (bytes), equal wherever the words are; remembered up to REMEMBERED words."""
+
+    _find = staticmethod(re.compile(WORD.encode()).findall)
+
+    def __missing__(self, word: bytes) -> int:
+        name = self[word] = xxhash.xxh3_64_intdigest(word)
+        return name
+
+    def of(self, text: bytes) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self._find(text)
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in a session that runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Folders of results that are still to be read.
+_results: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def results() -> set[str]:
+    """Folders of results of the operators called so far that were not released."""
+    return set(_results)
+
+
+def release(folders: set[str]) -> None:
+    """Delete the results in these folders, when all that was made of them has been written."""
+    for where in folders & results():
+        _remove(_results.pop(where), where)
+
+
+@atexit.register
+def _release_all() -> None:
+    for where, spark in list(_results.items()):
+        try:
+            _remove(spark, where)
+        except Exception:  # noqa: BLE001  the session is gone
+            return
+
+
 class Stage:
-    """Tables written to the shared folder, so that lost executors cost no recomputation of what came before."""
+    """Tables written to the shared folder, so that lost executors cost no recomputation of what came before.
+
+    As a context it deletes them at the end, also after a failure. Only tables that were cut with `keep` stay,
+    for the caller reads them later: until release(), or until the process ends.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.kept = spark, f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}", 0, set()
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, error, *_) -> None:
+        if error is not None or not self.kept:
+            _remove(self.spark, self.root)
+            return
+        for k in range(1, self.n + 1):
+            if k not in self.kept:
+                _remove(self.spark, f"{self.root}/{k}")
+        _results[self.root] = self.spark
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, keep: bool = False) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        # Shuffle files of the finished query go once the JVM sees that nothing refers to them.
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(CLEANUP, "false")
+        # The shuffle files of this write are of no use once it is done.
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        if keep:
+            self.kept.add(self.n)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._staged_at = path
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._staged_at)
-            path.getFileSystem(conf).delete(path, True)
+            _remove(self.spark, table._staged_at)

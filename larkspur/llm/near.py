@@ -3,64 +3,84 @@
 A document's set is its distinct word shingles. Documents with one and the same set become one class
 first. Each of TREES independent trees branches a class by the tokens of its set whose minwise hash at the
 node is below 1 / (similarity * set size), about 1 / similarity of them, so similar sets go down a common
-path with a chance that no size of the corpus lowers. Documents at a node of at most SMALL members are
-compared exhaustively; larger nodes branch again, up to DEPTH times.
-
-Only components are asked for, so pairs already known to be connected need no comparison:
-
-1. at every node each member is compared with the node's least member and with one drawn by a hash, so a
-   group with one odd member is still met; confirmed links are contracted;
-2. at small nodes (of the deepest branching needed) all pairs that still lie in different components are
-   compared; so are, at nodes that stay large at the last depth, members of different components, pair by
-   pair in an equi-join that AQE may split.
-
-Before texts are fetched for a comparison, pairs whose set sizes rule the similarity out go (no pair that
-counts is lost), then pairs whose sketches of BINS least tokens agree in so few bins that the similarity
-would be more than SIGMAS standard deviations off (one in 10^9 at the threshold, less above it).
-Every comparison is exact, on full sets. A pair at the very threshold is missed by one tree with a chance
-of at most 0.37 at the first depth (0.53 and 0.63 at the next two), by all 20 trees with 2e-9 (3e-6, 1e-4).
-
-Null and empty texts have no shingles and are linked with nothing; texts of fewer words than a shingle
-count as one; a very long text has one large set and is read whole; ties of a component go to the least
-doc_id; rows with the same doc_id and set share a component; of different sets under one least doc_id only one is
-searched, so links of the others may be lost, and so may links through a set that only rows without a
-doc_id have; rows without a doc_id get the component of their
-set, with a null kept, and are never dropped; further columns are
-ignored; an empty table gives an empty result.
+path with a chance that no size of the corpus lowers. Nodes of at most SMALL members are compared
+exhaustively; larger nodes branch again, up to DEPTH times.
+
+What cannot be linked is told before anything is compared:
+
+1. A linked set shares at least `similarity` of its tokens with one other set, so about that part of its
+   first nodes have other members. Classes with so few such nodes that a linked one would have them with a
+   chance of DOUBT go (all but about a fifth of ordinary text).
+2. Tokens that stand in one class only are counted exactly among the rest. A class with less than
+   `similarity` of its tokens elsewhere goes, and a pair (x, y) is ruled out if the smaller number of
+   such tokens is below similarity / (1 + similarity) of both sizes together. No link is lost by this.
+
+Then links are found:
+
+3. Every member of a node is compared with the node's hub (the member with the smallest share of tokens
+   of its own, the likely origin of a group of edited copies) and with one drawn by a hash; confirmed links
+   are contracted. That is one comparison a member, whatever the size of the node.
+4. Nodes whose members lie in several components are compared exhaustively. Nodes with one hub form one
+   group, so that a pair which meets in many trees is compared once; members outside the group's largest
+   component meet all members of other components. Groups are cut into blocks of BLOCK members, and pairs of
+   blocks are compared in numpy on full sets: only links become rows, and no task holds more than two blocks.
+
+Every link is confirmed on full sets. A pair at the very threshold misses one tree with a chance of at most
+0.37 at the first depth (0.53 and 0.63 at the next two), all 30 with 1e-13 (5e-9, 1e-6).
+
+Sets are of 64-bit names: xxh3 of each word, combined over a shingle. Null and empty texts have no shingles
+and are linked with nothing; texts of fewer words than a shingle count as one; a very long text has one
+large set and is read whole. Rows count one by one: rows with one doc_id and different texts have a
+component each, linked by their own sets; rows without a doc_id take part and get the least doc_id of their
+component (null if it has none). Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import blocks as B
-from larkspur.llm.common import Stage, documents
-from larkspur.llm.recompression import word_names, word_places
+from larkspur.llm.common import Stage, WordNames, at_most, documents, unused
 
 SHINGLE, SIMILARITY = 5, 80  # in words; in hundredths
-TREES, DEPTH, SMALL = 20, 3, 40
-BINS, SIGMAS = 128, 6.0
-HELD = 4_000_000  # tokens of sets that a task remembers
+SCREENS, TREES, DEPTH, SMALL = 20, 30, 3, 500
+DOUBT, ROUNDS, BLOCK = 1e-9, 2, 256
 U = np.uint64
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Odd multipliers of a shingle's words.
+WEIGHTS = B.powers(B.BASES[0], 64) | U(1)
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """The set of a text: sorted distinct 64-bit fingerprints of its shingles."""
-    data = LOWER[np.frombuffer(text, np.uint8)]
-    begin, end = word_places(data, np.array([0]), np.array([len(data)]))
-    if not len(begin):
+def shingles(text: bytes, size: int, names: WordNames) -> np.ndarray:
+    """The set of a text: sorted distinct 64-bit names of its shingles."""
+    found = names.of(text.lower())  # of bytes: A-Z only
+    if not len(found):
         return np.zeros(0, np.uint64)
-    names = word_names(data, begin, end)
-    prefix = B.Prefix(names, 1)
-    if len(names) < size:
-        return prefix.of(np.array([0]), np.array([len(names)]))
-    starts = np.arange(len(names) - size + 1)
-    return np.unique(prefix.of(starts, starts + size))
+    width = min(size, len(found))
+    total = np.zeros(len(found) - width + 1, np.uint64)
+    for k in range(width):
+        total += found[k : len(found) - width + 1 + k] * WEIGHTS[k + 1]
+    return np.unique(B.mix(total + U(width)))
+
+
+def _below(own: np.ndarray, nodes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node and token numbers of all minwise hashes up to the limit, and the hashes; few of a set lie there."""
+    at, which, hashes = [], [], []
+    for start in range(0, len(own), 1 << 16):
+        x = own[None, start : start + (1 << 16)] * (nodes[:, None] | U(1))
+        x ^= x >> U(29)
+        x *= U(0xBF58476D1CE4E5B9)
+        r, c = np.nonzero(x <= U(limit))
+        at.append(r), which.append(c + start), hashes.append(x[r, c])
+    return np.concatenate(at), np.concatenate(which), np.concatenate(hashes)
+
+
+def _limit(similarity: int, n: int) -> int:
+    return min((1 << 64) - 1, (1 << 64) * 100 // (similarity * n))
 
 
 def paths(tokens: np.ndarray, similarity: int, trees: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -68,20 +88,9 @@ def paths(tokens: np.ndarray, similarity: int, trees: int, depth: int) -> list[t
     n = len(tokens)
     if not n:
         return [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * depth
-    limit = U(min((1 << 64) - 1, (1 << 64) * 100 // (similarity * n)))
-    own = B.mix(tokens)
-    nodes = B.mix(np.arange(1, trees + 1, dtype=np.uint64))
-    out = []
+    own, nodes, out = B.mix(tokens), B.mix(np.arange(1, trees + 1, dtype=np.uint64)), []
     for _ in range(depth):
-        # The minwise hash of every token at every node; few tokens of a set lie below the limit.
-        at, which = [], []
-        for start in range(0, n, 1 << 16):
-            x = own[None, start : start + (1 << 16)] * (nodes[:, None] | U(1))
-            x ^= x >> U(29)
-            x *= U(0xBF58476D1CE4E5B9)
-            r, c = np.nonzero(x <= limit)
-            at.append(r), which.append(c + start)
-        at, which = np.concatenate(at), np.concatenate(which)
+        at, which, _ = _below(own, nodes, _limit(similarity, n))
         parents = nodes[at]
         nodes = B.mix(tokens[which] + parents * U(5))
         out.append((parents, nodes))
@@ -91,98 +100,182 @@ def paths(tokens: np.ndarray, similarity: int, trees: int, depth: int) -> list[t
     return out
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """For each of BINS equal ranges of fingerprints, 7 bits of the least token in it; 0 where there is none."""
-    edges = np.arange(BINS, dtype=np.uint64) << U(64 - BINS.bit_length() + 1)
-    at = np.searchsorted(tokens, edges)
-    ends = np.append(at[1:], len(tokens))
-    full = at < ends
-    out = np.zeros(BINS, np.uint8)
-    out[full] = (B.mix(tokens[at[full]]) >> U(57)).astype(np.uint8) | 128
-    return out.tobytes()
+def first_nodes(tokens: np.ndarray, similarity: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the first depth: those that any linked set with their token reaches too, and the others."""
+    roots = B.mix(np.arange(1, trees + 1, dtype=np.uint64))
+    at, which, hashes = _below(B.mix(tokens), roots, _limit(similarity, len(tokens)))
+    nodes = B.mix(tokens[which] + roots[at] * U(5))
+    # A linked set has at most 100 / similarity times as many tokens, so its own limit is no lower than this.
+    sure = hashes <= U(_limit(100, len(tokens)) - 1)
+    return nodes[sure], nodes[~sure]
+
+
+def needed(similarity: int, most: int = 200) -> list[int]:
+    """For each number of sure nodes: a linked set has fewer than so many with other members with a chance of DOUBT."""
+    share, out = similarity / 100, []
+    for n in range(most + 1):
+        chance, r = 0.0, 0
+        while r < n and (chance := chance + math.comb(n, r) * share**r * (1 - share) ** (n - r)) <= DOUBT:
+            r += 1
+        out.append(r)
+    return out
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) that their sizes and sketches do not rule out."""
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a")
-    rows = rows.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)).select("a", "b", "sa", "sb")
-    share = similarity / 100
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 128-bit key of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.cast("binary").alias("text"))
+
+
+def _sets(rows: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Of each row, size and 128-bit key of its set, and its first nodes."""
 
     def run(batches):
+        names = WordNames()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            used = ((sa | sb) > 0).sum(axis=1)
-            same = ((sa == sb) & (sa > 0)).sum(axis=1)
-            keep = pa.array(same >= share * used - SIGMAS * np.sqrt(share * (1 - share) * used))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            out = []
+            for text in batch.column("text").to_pylist():
+                tokens = shingles(text, shingle, names)
+                s1, s2 = (int(B.mix(tokens * U(k) + U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 3))
+                sure, more = first_nodes(tokens, similarity, SCREENS) if len(tokens) else (tokens, tokens)
+                out.append((len(tokens), s1, s2, B.signed(sure), B.signed(more)))
+            cols = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "t1", "t2")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "t1", "t2", "n", "s1", "s2", "sure", "more"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long, sure array<long>, more array<long>")
 
 
-def _sketches(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    longs = pa.list_(pa.int64())
+def _possible(heads: DataFrame, stage: Stage, similarity: int) -> DataFrame:
+    """Classes that have as many nodes in common with others as a linked one has."""
+    nodes = heads.select("cls", F.explode("sure").alias("k"), F.lit(True).alias("sure")).union(heads.select("cls", F.explode("more"), F.lit(False)))
+    # A table of its own, so that AQE can split the join's hot nodes.
+    shared = stage.cut(nodes.groupBy("k").count().where("count > 1").select("k"))
+    met = nodes.where("sure").join(shared.hint("merge"), "k").groupBy("cls").agg(F.count("*").alias("met"))
+    table = needed(similarity)
+    least = F.element_at(F.lit(table), F.least(F.size("sure"), F.lit(len(table) - 1)) + 1)
+    return heads.join(met.hint("merge"), "cls", "left").where(F.coalesce("met", F.lit(0)) >= least).select("cls", "t1", "t2", "n")
+
+
+def _tokens(rows: DataFrame, classes: DataFrame, n_classes: int, shingle: int) -> DataFrame:
+    """cls, n and the set of each class, from one of its texts."""
 
     def run(batches):
+        names = WordNames()
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text, shingle)
-                levels = paths(tokens, similarity, TREES, DEPTH)
-                s1, s2 = (int(B.mix(tokens * U(k) + U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 3))
-                out.append((len(tokens), s1, s2, sketch(tokens), *(B.signed(x) for level in levels for x in level)))
-            cols = list(zip(*out)) or [()] * (4 + 2 * DEPTH)
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [longs] * (2 * DEPTH)
-            names = ["n", "s1", "s2", "sketch"] + [f"{x}{d}" for d in range(1, DEPTH + 1) for x in "pk"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = [B.signed(shingles(t, shingle, names)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("n"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "n", "tokens"])
+
+    one = rows.join(at_most(classes, n_classes), ["t1", "t2"]).groupBy("cls", "n").agg(F.first("text").alias("text"))
+    return one.mapInArrow(run, "cls long, n long, tokens array<long>")
 
-    levels = ", ".join(f"p{d} array<long>, k{d} array<long>" for d in range(1, DEPTH + 1))
-    return docs.mapInArrow(run, f"doc_id long, n long, s1 long, s2 long, sketch binary, {levels}")
 
+def _shared_tokens(sets: DataFrame, similarity: int) -> DataFrame:
+    """cls, n and s, how many of its tokens other classes have, of classes for which that allows a link."""
+    single = sets.select("cls", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1")
+    own = single.groupBy("cls").agg(F.count("*").alias("own"))
+    s = F.col("n") - F.coalesce("own", F.lit(0))
+    return sets.select("cls", "n").join(own.hint("merge"), "cls", "left").select("cls", "n", s.alias("s")).where(100 * F.col("s") >= similarity * F.col("n"))
 
-def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage, shingle: int, similarity: int) -> DataFrame:
-    """Of staged pairs (a, b), those whose full sets are similar enough; only their texts are shuffled."""
+
+def _nodes(sets: DataFrame, similarity: int) -> DataFrame:
+    longs = pa.list_(pa.int64())
+    names = [f"{x}{d}" for d in range(1, DEPTH + 1) for x in "pk"]
 
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-
-        def of(doc, text):
-            """The set of a text; those met last are remembered, up to HELD tokens."""
-            nonlocal held
-            if doc not in sets:
-                found = shingles(text.as_py(), shingle)
-                if held + len(found) > HELD:
-                    sets.clear()
-                    held = 0
-                sets[doc] = found
-                held += len(found)
-            return sets[doc]
+        for batch in batches:
+            out = [[B.signed(x) for level in paths(np.array(t, np.int64).view(np.uint64), similarity, TREES, DEPTH) for x in level] for t in batch.column("tokens").to_pylist()]
+            cols = list(zip(*out)) or [()] * (2 * DEPTH)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("cls", "n", "s")] + [pa.array(c, longs) for c in cols], names=["cls", "n", "s", *names])
 
+    return sets.mapInArrow(run, "cls long, n long, s long, " + ", ".join(f"{x} array<long>" for x in names))
+
+
+def _may_link(similarity: int):
+    """Whether sizes n and numbers s of tokens that others have allow a link of x and y."""
+    least, most = F.least("nx", "ny"), F.greatest("nx", "ny")
+    return (least * 100 >= most * similarity) & (F.least("sx", "sy") * (100 + similarity) >= similarity * (F.col("nx") + F.col("ny")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets are similar enough; a's set is read once for the rows that follow it."""
+
+    def run(batches):
         for batch in batches:
-            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
-            a, b, keep = a.to_pylist(), b.to_pylist(), []
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            keep, last, left = [], None, None
             for i in range(len(a)):
-                left, right = of(a[i], ta[i]), of(b[i], tb[i])
+                if a[i] != last:
+                    last, left = a[i], batch.column("ta")[i].values.to_numpy()
+                right = batch.column("tb")[i].values.to_numpy()
                 common = len(left) + len(right) - len(np.union1d(left, right))
                 if 100 * common >= similarity * (len(left) + len(right) - common):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage.cut(docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    found = stage.cut(rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long"))
-    stage.drop(texts)
-    return found
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"t{x}")).hint("merge")
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _compared(groups: DataFrame, sets: DataFrame, stage: Stage, similarity: int) -> DataFrame:
+    """Links between members (hub, cls, comp, n, s) of one group that lie in different components."""
+    few = lambda t: at_most(t := stage.cut(t), t.count())  # noqa: E731  one row a group; tables of their own, so that AQE can split hot groups
+    by = groups.groupBy("hub", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    tops = by.groupBy("hub").agg(F.max(F.struct("size", "comp"))["comp"].alias("top"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1")
+    # A partner of x has at least the group's least number of tokens, and at most so many that the shared ones suffice.
+    room = (100 + similarity) * F.col("s") - similarity * F.col("n")
+    told = groups.join(few(tops), "hub").where(room >= similarity * F.col("least"))
+    told = stage.cut(told.select("hub", "cls", "comp", "n", "s", (F.col("comp") != F.col("top")).alias("out")))
+    # Members of the largest component matter only beside others.
+    sizes = told.groupBy("hub").agg(F.count("*").alias("members"), F.count_if("out").alias("outs")).where("outs > 0 AND members > 1")
+    told = stage.cut(told.join(few(sizes), "hub"))
+
+    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("cls"), F.ceil(F.col(size) / BLOCK)).alias("block")
+        full = rows.join(sets.select("cls", "tokens").hint("merge"), "cls")
+        return full.groupBy("hub", block).agg(F.collect_list(F.struct("cls", "comp", "n", "s", "tokens")).alias(name)).select("hub", name)
+
+    outs, every = blocks(told.where("out"), "outs", "x"), blocks(told, "members", "y")
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                a, b = _links(x.values, y.values, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return outs.join(every.hint("merge"), "hub").select("x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(x, y, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of two blocks of members whose components differ."""
+    field = lambda z, name: z.field(name).to_numpy(zero_copy_only=False)
+    cx, cy, nx, ny, sx, sy = (field(z, c) for c in ("comp", "n", "s") for z in (x, y))
+    tokens = lambda z: z.field("tokens").flatten().to_numpy()
+    every = np.unique(tokens(y))
+    codes, starts = np.searchsorted(every, tokens(y)), np.concatenate(([0], np.cumsum(ny)[:-1]))
+    own, ends = tokens(x), np.cumsum(nx)
+    place = np.minimum(np.searchsorted(every, own), len(every) - 1)
+    there = every[place] == own
+    ids, others, a, b = field(x, "cls"), field(y, "cls"), [], []
+    for i in range(len(nx)):
+        fits = (cy != cx[i]) & (np.minimum(sy, sx[i]) * (100 + similarity) >= similarity * (ny + nx[i]))
+        if not fits.any():
+            continue
+        part = slice(ends[i] - nx[i], ends[i])
+        flags = np.zeros(len(every), np.int64)
+        flags[place[part][there[part]]] = 1
+        common = np.add.reduceat(flags[codes], starts)
+        found = np.flatnonzero(fits & (100 * common >= similarity * (ny + nx[i] - common)))
+        a.append(np.full(len(found), ids[i])), b.append(others[found])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """node and component (least node reachable) of all nodes of edges (a, b), by alternating large and small stars."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = stage.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -191,70 +284,109 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = stage.cut(small.where("u <> v").distinct())
+        last, edges = edges, stage.cut(small.where("u <> v").distinct())
+        stage.drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         before = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
-    stage = Stage(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    sketches = stage.cut(_sketches(slim, shingle, similarity))
-    classes = stage.cut(sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class")).where("class IS NOT NULL"))
-    # One row stands for each class from here on.
-    heads = sketches.where("n > 0").join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = stage.cut(heads)
-    own = stage.cut(sketches.select("doc_id", "n", "s1", "s2"))
-    stage.drop(sketches)
+def _linked(sets: DataFrame, stage: Stage, similarity: int) -> DataFrame:
+    """node and component of the classes of sets (cls, n, s, tokens) that are linked with any."""
+    lev = stage.cut(_nodes(sets, similarity))
 
     def level(d: int, among: DataFrame | None = None) -> DataFrame:
-        """Of all heads, or of those `among` (id): the nodes at depth d and their parents."""
-        rows = heads.select(F.col("doc_id").alias("id"), "n", f"p{d}", f"k{d}")
-        rows = rows if among is None else rows.join(among, "id", "left_semi")
-        return rows.select("id", "n", F.explode(F.arrays_zip(f"p{d}", f"k{d}")).alias("z")).select("id", "n", F.col(f"z.p{d}").alias("p"), F.col(f"z.k{d}").alias("k"))
-
-    nodes = level(1).select("id", "n", "k").distinct()
-    shared = stage.cut(nodes.groupBy("k").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.min(F.struct(F.xxhash64("id"), "id")).alias("drawn")).where("members > 1"))
-    nodes = stage.cut(nodes.join(shared, "k"))
-    # Every member against two of its node.
-    hubs = nodes.select("id", F.explode(F.array("least", "drawn.id")).alias("hub")).where("id <> hub")
-    stars = stage.cut(hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    links = _verified(stage.cut(_likely(stars, heads, similarity)), slim, stage, shingle, similarity)
+        """The nodes at depth d of all classes, or of those `among`, with their parents."""
+        rows = lev.select("cls", "n", "s", f"p{d}", f"k{d}")
+        rows = rows if among is None else rows.join(among.hint("merge"), "cls", "left_semi")
+        return rows.select("cls", "n", "s", F.explode(F.arrays_zip(f"p{d}", f"k{d}")).alias("z")).select("cls", "n", "s", F.col(f"z.p{d}").alias("p"), F.col(f"z.k{d}").alias("k"))
+
+    central = F.min(F.struct((1 - F.col("s") / F.col("n")).alias("own"), "cls", "n", "s"))
+    drawn = F.min(F.struct(F.xxhash64("cls").alias("own"), "cls", "n", "s"))
+    nodes = stage.cut(level(1).select("cls", "n", "s", "k").distinct())
+    hubs = nodes.groupBy("k").agg(F.count("*").alias("members"), central.alias("one"), drawn.alias("two")).where("members > 1")
+    both = F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("cls", "n", "s")]) for h in ("one", "two")]))
+    hubs = stage.cut(hubs.select("k", F.explode(both).alias("hub")).select("k", F.col("hub.cls").alias("a"), F.col("hub.n").alias("ny"), F.col("hub.s").alias("sy")))
+    stars = nodes.select("k", F.col("cls").alias("b"), F.col("n").alias("nx"), F.col("s").alias("sx")).join(hubs.hint("merge"), "k")
+    stars = stage.cut(stars.where((F.col("a") != F.col("b")) & _may_link(similarity)).select("a", "b").distinct())
+    links = stage.cut(_confirmed(stars, sets, similarity))
     labels = stage.cut(components(links, stage))
-    placed = lambda rows: rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("component"))
+    stage.drop(stars, hubs)
     # What may still be linked: nodes whose members lie in several components.
-    last, pairs = nodes.select("k", "id", "n"), None
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    last, groups = nodes.select("k", "cls", "n", "s"), None
     for d in range(1, DEPTH + 1):
-        mixed = stage.cut(placed(last))
-        several = stage.cut(mixed.groupBy("k").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k", "members"))
-        open_ = mixed.join(several, "k")
+        mixed = last.join(labels.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select("k", "cls", "n", "s", F.coalesce("component", "cls").alias("comp"))
+        told = mixed.groupBy("k").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), central["cls"].alias("hub")).where("lo < hi")
+        open_ = stage.cut(mixed.join(stage.cut(told.select("k", "members", "hub")).hint("merge"), "k"))
         ready = open_ if d == DEPTH else open_.where(F.col("members") <= SMALL)
-        side = lambda x: ready.select("k", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
-        more = side("a").join(side("b"), "k").where(fits).select("a", "b")
-        pairs = more if pairs is None else pairs.union(more)
+        ready = ready.select("hub", "cls", "comp", "n", "s")
+        groups = ready if groups is None else groups.union(ready)
         if d < DEPTH:
-            # Large nodes branch again: their members' nodes one level down.
-            down = open_.where(F.col("members") > SMALL).select(F.col("k").alias("p"), "id")
-            # Only documents of large nodes are exploded and shuffled.
-            last = level(d + 1, stage.cut(down.select("id").distinct())).join(down, ["p", "id"]).select("k", "id", "n").distinct()
-    rest = stage.cut(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
-    every = links.union(_verified(stage.cut(_likely(rest, heads, similarity)), slim, stage, shingle, similarity))
-    final = stage.cut(components(every, stage))
-    out = own.join(classes, ["s1", "s2"], "left")
-    out = out.join(final, out["class"] == final["node"], "left")
-    of = F.when(F.col("n") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+            # Larger nodes branch: their members' nodes one level down.
+            down = stage.cut(open_.where(F.col("members") > SMALL).select(F.col("k").alias("p"), "cls"))
+            if down.isEmpty():
+                break
+            last = level(d + 1, down.select("cls").distinct()).join(down.hint("merge"), ["p", "cls"]).select("k", "cls", "n", "s").distinct()
+    more = stage.cut(_compared(stage.cut(groups.distinct()), sets, stage, similarity))
+    return components(links.union(more), stage)
+
+
+def _placed(docs: DataFrame, stage: Stage, shingle: int, similarity: int) -> DataFrame:
+    """A staged row for each of docs: doc_id, key of its text, n and comp, null for empty sets."""
+    rows = _rows(docs)
+    found = stage.cut(_sets(rows, shingle, similarity))
+    heads = found.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "sure", "more")])
+    heads = stage.cut(heads.select(F.monotonically_increasing_id().alias("cls"), "s1", "s2", "t.t1", "t.t2", "n", "sure", "more"))
+    own = stage.cut(found.select("doc_id", "t1", "t2", "n", "s1", "s2"))
+    stage.drop(found)
+    classes = stage.cut(_possible(heads, stage, similarity))
+    sets = stage.cut(_tokens(rows, classes, classes.count(), shingle))
+    for _ in range(ROUNDS):
+        kept = stage.cut(_shared_tokens(sets, similarity))
+        before, sets = sets, stage.cut(sets.select("cls", "tokens").join(at_most(kept, kept.count()), "cls"))
+        stage.drop(before)
+    linked = _linked(sets, stage, similarity)
+    comps = heads.select("s1", "s2", "cls").join(linked.hint("merge"), F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
+    return stage.cut(own.join(comps.hint("merge"), ["s1", "s2"], "left").select("doc_id", "t1", "t2", "n", F.when(F.col("n") > 0, F.col("comp")).alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document."""
+    with Stage(docs.sparkSession) as stage:
+        placed = _placed(docs, stage, shingle, similarity)
+        least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("comp", "component_id")
+        of = F.when(F.col("c").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+        out = placed.join(least.select(F.col("comp").alias("c"), "component_id").hint("merge"), F.col("comp") == F.col("c"), "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        return stage.cut(out, keep=True)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without all but the least doc_id of each component; rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, similarity).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: of the least doc_id, and of its texts that with the least key.
+
+    Rows without words and rows without a doc_id stay, all of them.
+    """
+    with Stage(docs.sparkSession) as stage:
+        placed = _placed(docs, stage, shingle, similarity).where("comp IS NOT NULL AND doc_id IS NOT NULL")
+        rank = F.struct("doc_id", "t1", "t2")
+        first = placed.groupBy("comp").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1").select("comp", "first")
+        told = placed.join(first.hint("merge"), "comp").select("doc_id", "t1", "t2", (rank == F.col("first")).alias("stays"))
+        # Rows that go, and rows of which one stays.
+        marks = told.groupBy("doc_id", "t1", "t2").agg(F.max("stays").alias("stays"), F.count("*").alias("copies")).where("NOT stays OR copies > 1")
+        marks = stage.cut(marks.select("doc_id", "t1", "t2", "stays"), keep=True)
+        n = marks.count()
+        repeated = not marks.where("stays").isEmpty()
+    i, t1, t2, stays, d, k1, k2 = unused(docs, "key_id", "key_1", "key_2", "stays", "mark_id", "mark_1", "mark_2")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(i), F.xxhash64(text).alias(t1), F.xxhash64(text, F.lit(1)).alias(t2))
+    marks = marks.select(F.col("doc_id").alias(d), F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("stays").alias(stays))
+    met = (F.col(i) == F.col(d)) & (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2))
+    out = keyed.join(at_most(marks, n), met, "left_anti").select(*docs.columns)
+    if repeated:
+        one = keyed.join(at_most(marks.where(F.col(stays)), n), met, "left_semi").dropDuplicates([i, t1, t2])
+        out = out.union(one.select(*docs.columns))
+    return out
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

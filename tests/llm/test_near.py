@@ -37,9 +37,10 @@ def plain(rows, size, similarity):
     return [(d, len(s), least.get(find(i), d) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("small", [near.SMALL, 2])
-def test_equal_brute_force(docs, prose, monkeypatch, small):
+@pytest.mark.parametrize("small, block", [(near.SMALL, near.BLOCK), (2, 3)])
+def test_equal_brute_force(docs, prose, monkeypatch, small, block):
     monkeypatch.setattr(near, "SMALL", small)  # 2: nodes branch to the last depth
+    monkeypatch.setattr(near, "BLOCK", block)  # 3: groups are compared in many blocks
     rows = [r for r in prose(7, n=30) if r[0] is not None]
     base = rows[0][1].split()
     for k in range(25):  # a chain of edits
@@ -62,6 +63,49 @@ def test_rows_without_id_and_repeated_ids(docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "8", "9", "9", "None"] and kept.columns == docs(rows).columns
 
 
+def test_one_id_with_several_texts(docs):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b)]
+    got = near.near_duplicates(docs(rows), 4, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 5), (7, 5)]
+    assert sorted((r["doc_id"], r["text"][0]) for r in near.keep_one(docs(rows), 4, 80).collect()) == [(3, "a"), (5, "b")]
+    rows = [(3, a + " more"), (5, a), (5, b), (7, b + " more")]
+    got = near.near_duplicates(docs(rows), 4, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 5), (7, 5)]
+
+
+def test_one_of_identical_rows_stays(docs):
+    rows = [(5, "one and the same text " * 9)] * 3 + [(6, "another text of its own " * 9), (7, ""), (7, "")]
+    assert sorted(r["doc_id"] for r in near.keep_one(docs(rows), 4, 80).collect()) == [5, 6, 7, 7]
+    clash = docs(rows).withColumnsRenamed({"tag": "key_1", "place": "mark_id", "known": "stays"})
+    kept = near.keep_one(clash, 4, 80)
+    assert kept.columns == clash.columns and kept.count() == 4
+
+
+def edited_copies(n, seed):
+    """A text and copies of it with 1 to 12 words replaced, some of them by words that several copies share."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for d in range(n):
+        words = base[:]
+        for at in rng.integers(0, 150, rng.integers(1, 13)):
+            words[at] = f"shared{rng.integers(4)}" if rng.random() < 0.3 else f"own{d}x{at}"
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+def test_large_group_of_edited_copies_loses_no_link(docs):
+    rows = edited_copies(700, 3)
+    got = near.near_duplicates(docs(rows), 4, 80).select("doc_id", "n_shingles", "component_id").collect()
+    want = plain(rows, 4, 80)
+    assert len({c for _, _, c in want}) > 50 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_screens_keep_linked_sets():
+    assert near.needed(80)[20] == 4 and near.needed(80)[0] == 0
+    assert all(a <= b <= a + 1 for a, b in zip(near.needed(80), near.needed(80)[1:]))
+
+
 def test_empty(docs):
     assert near.near_duplicates(docs([(1, "x")]).limit(0)).count() == 0
 
