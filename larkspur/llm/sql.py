@@ -34,21 +34,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-def op4(depth: int = 3, least: int = 5, share: float = 0.2, min_tokens: int = 3) -> str:
+def op4(depth: int = 2, least: int = 5, short: int = 20, wide: int = 10, cover: float = 0.5) -> str:
+    """Lines, leaves and templates by their tokens; d has the texts as given, u each different text once."""
+    word = r"[^\x20\x09-\x0D]"
     return rf"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
-l AS (SELECT doc_id, raw[i] AS line, i, regexp_replace(raw[i], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS masked
-  FROM (SELECT doc_id, raw, unnest(range(1, len(raw) + 1)) AS i FROM d WHERE text IS NOT NULL)),
-k AS (SELECT *, trim(masked, ' ') AS tmpl, regexp_extract_all(masked, '[^\x20\x09-\x0D]+') AS tokens FROM l),
-s AS (SELECT *, lag(tmpl) OVER w AS before, lead(tmpl) OVER w AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT len(tokens) AS n_tokens, tokens[1:{depth}] AS lead_tokens, tmpl, before, after, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi
-  FROM s WHERE len(tokens) >= {min_tokens} GROUP BY ALL),
-r AS (SELECT n_tokens, lead_tokens, tmpl FROM c GROUP BY ALL
-  HAVING count(*) >= {least} AND min(lo) < max(hi) AND max(n) <= {share} * sum(n)),
-o AS (SELECT s.doc_id, count(r.tmpl) AS n_removed, coalesce(string_agg(s.line, chr(10) ORDER BY i) FILTER (r.tmpl IS NULL), '') AS kept
-  FROM s LEFT JOIN r ON r.n_tokens = len(s.tokens) AND r.lead_tokens = s.tokens[1:{depth}] AND r.tmpl = s.tmpl GROUP BY s.doc_id)
+WITH d AS MATERIALIZED (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
+u AS MATERIALIZED (SELECT DISTINCT text, raw FROM d WHERE text IS NOT NULL),
+l AS MATERIALIZED (SELECT *, len(tokens) AS n, tokens[1:{depth}] AS lead FROM (
+  SELECT text, i, regexp_extract_all(regexp_replace(raw[i], '{word}*[0-9]{word}*', '<*>', 'g'), '{word}+') AS tokens
+  FROM (SELECT text, raw, unnest(range(1, len(raw) + 1)) AS i FROM u)) WHERE len(tokens) > 0),
+v AS MATERIALIZED (SELECT n, lead FROM l GROUP BY ALL HAVING count(DISTINCT text) >= {least}),
+e AS MATERIALIZED (SELECT n, lead, tokens, count(DISTINCT text) AS texts FROM l JOIN v USING (n, lead) GROUP BY ALL),
+w AS (SELECT n, lead FROM e WHERE n > {depth} GROUP BY ALL HAVING sum(texts) >= {wide} AND count(*) > 1),
+p AS MATERIALIZED (SELECT n, lead, tokens, texts, i, tokens[i] AS token FROM (SELECT *, unnest(range({depth} + 1, n + 1)) AS i FROM e JOIN w USING (n, lead)) WHERE tokens[i] <> '<*>'),
+c AS (SELECT n, lead, i, token FROM p GROUP BY ALL HAVING sum(texts) >= {least}),
+g AS (SELECT n, lead, tokens, list((i, token) ORDER BY i) AS constants FROM p JOIN c USING (n, lead, i, token) GROUP BY ALL),
+k AS MATERIALIZED (
+  SELECT n, lead, tokens, (tokens, NULL) AS template, CASE WHEN n > {depth} THEN {least} ELSE {short} END AS needed FROM e WHERE texts >= CASE WHEN n > {depth} THEN {least} ELSE {short} END
+  UNION ALL SELECT n, lead, tokens, (NULL, (n, lead, constants)), {wide} FROM g WHERE 2 * (len(constants) + len(list_filter(lead, lambda z: z <> '<*>'))) > n),
+h AS MATERIALIZED (SELECT text, i, l.n, template, needed FROM l JOIN k ON k.n = l.n AND k.lead = l.lead AND k.tokens = l.tokens),
+r AS (SELECT template FROM h GROUP BY template, needed HAVING count(DISTINCT text) >= needed),
+hr AS MATERIALIZED (SELECT h.* FROM h JOIN r USING (template)),
+s AS (SELECT text FROM (SELECT text, sum(n) AS covered FROM (SELECT DISTINCT text, i, n FROM hr) GROUP BY text) JOIN (SELECT text, sum(n) AS total FROM l GROUP BY text) USING (text) WHERE covered <= {cover} * total),
+b AS (SELECT template FROM hr JOIN s USING (text) GROUP BY template, needed HAVING count(DISTINCT text) >= needed),
+x AS MATERIALIZED (SELECT DISTINCT text, i, true AS gone FROM hr JOIN b USING (template)),
+o AS (SELECT text, count(gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL) AS kept
+  FROM (SELECT text, unnest(range(1, len(raw) + 1)) AS i, unnest(raw) AS line FROM u) LEFT JOIN x USING (text, i) GROUP BY text)
 SELECT doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (text)
 """
 
 

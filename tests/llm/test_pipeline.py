@@ -13,27 +13,50 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 ITEM = "Which of the seven green bottles on the old wall would be the first one to fall down when the wind turns north again?"
 
 
-def plain_lines(rows):
+def plain_lines(rows, depth=2, least=5, short=20, wide=10, cover=0.5):
     """Rows without the lines of recurring templates, by counting in dictionaries."""
-    found = []
-    for d, t in rows:
-        shown = [re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", x).strip(" ") for x in t.split("\n")]
-        for i, x in enumerate(shown):
-            words = x.split()
-            key = (len(words), tuple(words[:3]), x) if len(words) >= 3 else None
-            found.append((d, t, i, key, (shown[i - 1] if i else None, shown[i + 1] if i + 1 < len(shown) else None)))
-    settings, who = defaultdict(Counter), defaultdict(set)
-    for d, _, _, key, setting in found:
-        if key:
-            settings[key][setting] += 1
-            if d is not None:
-                who[key].add(d)
-    gone = {k for k, c in settings.items() if len(c) >= 5 and len(who[k]) > 1 and max(c.values()) <= 0.2 * sum(c.values())}
-    out = []
-    for d, t in rows:
-        keep = {i for e, s, i, k, _ in found if (e, s) == (d, t) and k not in gone}
-        out.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i in keep)))
-    return out
+    lines, leaves, holders = defaultdict(dict), defaultdict(set), defaultdict(set)
+    for text in {t for _, t in rows if t is not None}:
+        for i, raw in enumerate(text.split("\n")):
+            shown = tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", raw)))
+            if shown:
+                lines[text][i] = shown
+                leaves[len(shown), shown[:depth]].add(text)
+                holders[shown].add(text)
+    inside = defaultdict(list)
+    for shown in holders:
+        if len(leaves[len(shown), shown[:depth]]) >= least:
+            inside[len(shown), shown[:depth]].append(shown)
+    names = defaultdict(list)  # of a line: its templates, and how many texts each needs
+    for (n, lead), kinds in inside.items():
+        seen = Counter()
+        for shown in kinds:
+            for i in range(depth, n):
+                seen[i, shown[i]] += len(holders[shown])
+        for shown in kinds:
+            enough = least if n > depth else short
+            if len(holders[shown]) >= enough:
+                names[shown].append((shown, enough))
+            constants = tuple((i, shown[i]) for i in range(depth, n) if shown[i] != "<*>" and seen[i, shown[i]] >= least)
+            general = n > depth and len(kinds) > 1 and sum(len(holders[k]) for k in kinds) >= wide
+            if general and constants and 2 * (len(constants) + sum(x != "<*>" for x in lead)) > n:
+                names[shown].append(((n, lead, constants), wide))
+
+    def often(texts):
+        held = defaultdict(set)
+        for t in texts:
+            for shown in lines[t].values():
+                for name in names[shown]:
+                    held[name].add(t)
+        return {name for name, found in held.items() if len(found) >= name[1]}
+
+    recurring = often(lines)
+    hit = lambda t, among: {i for i, shown in lines[t].items() if any(x in among for x in names[shown])}
+    size = lambda t, places: sum(len(lines[t][i]) for i in places)
+    hosts = [t for t in lines if hit(t, recurring) and size(t, hit(t, recurring)) <= cover * size(t, lines[t])]
+    gone = recurring & often(hosts)
+    cut = lambda t: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in hit(t, gone))
+    return [(d, None if t is None else cut(t)) for d, t in rows]
 
 
 def test_equals_a_plain_version(spark, docs, prose, tmp_path):

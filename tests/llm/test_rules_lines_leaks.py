@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from larkspur.llm import leaks, lines, rules, sql
+from tests.llm.test_pipeline import plain_lines
 
 
 def words(t):
@@ -48,6 +49,42 @@ def test_templates_go_and_copies_stay(docs):
     assert clean
 
 
+def own(k, n=12):
+    """Words that only text k has."""
+    return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}own" for j in range(n))
+
+
+def test_fields_of_letters_and_whole_notices_go(docs):
+    name = lambda k: chr(97 + k % 26) + chr(97 + k // 26)
+    rows = [(k, f"{own(k)}\nPosted by {name(k)} on our site\n{own(k, 9)}") for k in range(60)]
+    notice = ["We use cookies on this site.", "They remember what you chose before.", "Read more in our policy."]
+    rows += [(100 + k, "\n".join([own(60 + k), *notice, own(60 + k, 9)])) for k in range(60)]
+    rows += [(200 + k, f"{own(130 + k)}\nAdvertisement\n{own(130 + k, 3)}") for k in range(25)]
+    rows += [(300 + k, f"{own(160 + k)}\nRare\nseen by four of them\n{own(160 + k, 3)}") for k in range(4)]
+    edited = [f"Line {x} of a text that was copied and edited." for x in ("one", "two", "three", "four", "five")]
+    rows += [(400 + k, "\n".join([*edited, own(170 + k, 2)])) for k in range(30)]
+    rows += [(500, notice[1]), (501, "\n".join(notice))]
+    got = {r["doc_id"]: r for r in lines.drop_templates(docs(rows)).collect()}
+    for d, t in rows:
+        want = 1 if d < 100 or 200 <= d < 300 else 3 if d < 200 or d == 501 else 1 if d == 500 else 0
+        assert got[d]["n_removed"] == want, (d, got[d])
+        assert want or got[d]["text"] == t
+    assert got[0]["text"] == f"{own(0)}\n{own(0, 9)}" and got[100]["text"] == f"{own(60)}\n{own(60, 9)}" and got[500]["text"] == got[501]["text"] == ""
+    assert [(d, got[d]["text"]) for d, _ in rows] == plain_lines(rows)
+
+
+def test_long_texts_and_inner_names(docs, monkeypatch):
+    rows = [(k, f"{own(k)}\nall rights reserved here\n{own(k, 9)}") for k in range(8)]
+    rows += [(50, "\n".join(f"{own(30 + k % 80)} {k}" + ("\nall rights reserved here" if k % 2 else "") for k in range(20_000)))]
+    for few in (10**6, 10):  # 10: gone lines are shuffled and not broadcast
+        monkeypatch.setattr(lines, "BROADCAST_ROWS", few)
+        table = docs(rows).withColumnsRenamed({"tag": "_gone", "place": "_id", "known": "_key", "score": "_all", "kept": "_k"})
+        out = lines.drop_templates(table)
+        assert [c for c in out.columns if c not in ("n_lines", "n_removed")] == [c for c in table.columns if c != "n_removed"]
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert all(got[d]["n_removed"] == (10_000 if d == 50 else 1) and "reserved" not in got[d]["text"] and got[d]["_gone"] == "x" for d, _ in rows)
+
+
 def bench(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
