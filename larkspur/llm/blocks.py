@@ -7,6 +7,7 @@ executors, get equal anchors. Arithmetic is modulo 2**64, vectorised over a buff
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 #: Odd multipliers of the two polynomial fingerprints and their inverses modulo 2**64.
@@ -89,6 +90,12 @@ def buffers(batch, column: str, most: int = 1 << 21):
         first = last
 
 
+def hashed(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxh3 of each part of values."""
+    raw, size = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((start * size).tolist(), (end * size).tolist())), np.uint64, len(start))
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """First places of runs of equal values."""
     if not len(values):
@@ -101,21 +108,21 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Blocks:
-    """Blocks of one buffer: document row, first window (in the document), number of windows, anchor, body."""
+    """Blocks of one buffer: document row, first window (in the document), number of windows, anchor, hash of the whole, place of the anchor in the first window."""
 
-    def __init__(self, row, start, count, anchor, body):
-        self.row, self.start, self.count, self.anchor, self.body = row, start, count, anchor, body
+    def __init__(self, row, start, count, anchor, body, rel):
+        self.row, self.start, self.count, self.anchor, self.body, self.rel = row, start, count, anchor, body, rel
 
 
 def joined(parts: list[Blocks]) -> Blocks:
-    return Blocks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "start", "count", "anchor", "body")))
+    return Blocks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "start", "count", "anchor", "body", "rel")))
 
 
 def byte_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Blocks:
     """Windows of `window` bytes, anchored at the leftmost of their least `gram`-byte strings."""
     empty = np.zeros(0, np.int64)
     if len(data) < window:
-        return Blocks(empty, empty, empty, empty, empty)
+        return Blocks(*[empty] * 6)
     if len(data) - window + 1 > PIECE:
         # Pieces overlap by a window less one byte, so each window lies in one piece; blocks may be cut, which repeats allows.
         parts = []
@@ -137,7 +144,7 @@ def byte_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window:
     long = ends - starts >= window
     rows, s, e = np.flatnonzero(long), starts[long], ends[long] - window + 1
     if not len(rows):
-        return Blocks(empty, empty, empty, empty, empty)
+        return Blocks(*[empty] * 6)
     inside = np.zeros(len(at) + 1, np.int32)
     np.add.at(inside, s, 1)
     np.add.at(inside, e, -1)
@@ -149,6 +156,6 @@ def byte_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window:
     first, last = first[real], last[real]
     row = rows[np.searchsorted(s, first, "right") - 1]
     anchor = grams[tagged[first]]
-    two = Prefix(data.astype(np.uint64) + U(1), 1)
-    body = two.of(first, last - 1 + window) ^ mix(((tagged[first] - first) + 1).astype(np.uint64))
-    return Blocks(row, first - starts[row], last - first, signed(anchor), signed(body))
+    rel = tagged[first] - first
+    body = hashed(data, first, last - 1 + window) ^ mix((rel + 1).astype(np.uint64))
+    return Blocks(row, first - starts[row], last - first, signed(anchor), signed(body), rel)

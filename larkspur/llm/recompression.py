@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
-from larkspur.llm.common import documents
+from larkspur.llm.common import WordNames, documents
 from larkspur.llm.repeats import remove_repeats
 
 WINDOW, REACH = 35, 5
@@ -34,26 +34,9 @@ WINDOW, REACH = 35, 5
 #: round, and as many more as the longest symbol of each further round.
 ROUNDS = (1, 1, 2)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+").findall
-BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 U = np.uint64
 
 
-def word_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of all words and the bytes after them; a word never crosses texts."""
-    full = ~BLANK[data]
-    head = np.zeros(len(data) + 1, bool)
-    head[starts] = True
-    begin = full.copy()
-    begin[1:] &= ~full[:-1] | head[1:-1]
-    end = full.copy()
-    end[:-1] &= ~full[1:] | head[1:-1]
-    return np.flatnonzero(begin), np.flatnonzero(end) + 1
-
-
-def word_names(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return B.Prefix(data.astype(np.uint64) + U(1), 0).of(begin, end)
-
-
 def symbols(names: np.ndarray, text: np.ndarray) -> np.ndarray:
     """First words of the symbols that recompression leaves; text: the text of each word."""
     if not len(names):
@@ -82,7 +65,7 @@ def word_blocks(names: np.ndarray, text: np.ndarray, window: int) -> B.Blocks:
     empty = np.zeros(0, np.int64)
     n = len(names) - window + 1
     if n < 1:
-        return B.Blocks(empty, empty, empty, empty, empty)
+        return B.Blocks(*[empty] * 6)
     if n > B.PIECE:
         # As in byte_blocks; a border depends on words of its window alone, so pieces have the same ones.
         parts = []
@@ -109,50 +92,54 @@ def word_blocks(names: np.ndarray, text: np.ndarray, window: int) -> B.Blocks:
     anchored = tagged[first] >= 0
     border = np.where(anchored, tagged[first], first + REACH)
     anchor = around.of(np.where(anchored, border - REACH, first), np.where(anchored, border + REACH, first + window))
-    body = B.Prefix(names, 1).of(first, last - 1 + window) ^ B.mix((border - first + 1).astype(np.uint64))
+    body = B.hashed(names, first, last - 1 + window) ^ B.mix((border - first + 1).astype(np.uint64))
     heads = np.concatenate(([0], np.flatnonzero(text[1:] != text[:-1]) + 1))
     head = heads[np.searchsorted(heads, first, "right") - 1]
-    return B.Blocks(text[first], first - head, last - first, B.signed(anchor), B.signed(body))
+    return B.Blocks(text[first], first - head, last - first, B.signed(anchor), B.signed(body), border - first)
 
 
 class Words:
     """Windows of words, for repeats."""
 
     def __init__(self, window: int = WINDOW):
-        self.window = window
+        self.window, self.names = window, WordNames()
         self.fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
         self.kinds = [pa.int64(), pa.int64(), pa.string()]
 
-    def named(self, data, starts, ends):
-        begin, end = word_places(data, starts, ends)
-        return word_names(data, begin, end), np.searchsorted(starts, begin, "right") - 1
+    def named(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Names of all words, and the text of each."""
+        found = [self.names.of(t) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint64), *found]), np.repeat(np.arange(len(found)), [len(f) for f in found])
 
     def blocks(self, data, starts, ends):
-        # Empty texts share their start with the next text; the last of those owns the words.
-        return word_blocks(*self.named(data, starts, ends), self.window)
+        raw = data.tobytes()
+        return word_blocks(*self.named([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), self.window)
 
     def contents(self, text: bytes, places):
-        begin, end = word_places(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))
-        return [text[begin[start] : end[start + count - 2 + self.window]] for start, count in places]
+        words = WORD(text)
+        return [b" ".join(words[start : start + count - 1 + self.window]) for start, count in places]
+
+    def rel(self, content: bytes) -> int:
+        return int(word_blocks(*self.named([content]), self.window).rel[0])
+
+    def units(self, content: bytes) -> list[bytes]:
+        return content.split(b" ")
 
-    def window_keys(self, content: bytes):
-        data = np.frombuffer(content, np.uint8)
-        names, _ = self.named(data, np.array([0]), np.array([len(data)]))
-        return B.signed(B.Prefix(names, 0).all(self.window)), B.signed(B.Prefix(names, 1).all(self.window))
+    def joined(self, units: list[bytes]) -> bytes:
+        return b" ".join(units)
 
     def repeated(self, contents: list[bytes]) -> list[np.ndarray]:
-        """For each content, which of its windows stand elsewhere in the contents."""
-        sizes = np.array([len(c) for c in contents])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        names, text = self.named(np.frombuffer(b"".join(contents), np.uint8), starts, starts + sizes)
-        n = len(names) - self.window + 1
+        """For each content, which of its windows stand elsewhere in the contents, by comparing words."""
+        # Numbers for words that are equal only for equal words.
+        numbers: dict[bytes, int] = {}
+        split = [c.split(b" ") for c in contents]
+        codes = np.array([numbers.setdefault(w, len(numbers)) for c in split for w in c], np.int64)
+        text = np.repeat(np.arange(len(split)), [len(c) for c in split])
+        n = len(codes) - self.window + 1
         valid = np.flatnonzero(text[:n] == text[self.window - 1 :])
-        one, two = B.Prefix(names, 0).all(self.window)[valid], B.Prefix(names, 1).all(self.window)[valid]
-        order = np.lexsort((two, one))
-        same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-        flags = np.zeros(len(valid), bool)
-        flags[order[1:][same]] = True
-        flags[order[:-1][same]] = True
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, self.window)[valid])
+        _, same, often = np.unique(rows.view(np.dtype((np.void, rows.itemsize * self.window))).ravel(), return_inverse=True, return_counts=True)
+        flags = often[same] > 1
         bounds = np.searchsorted(text[valid], np.arange(len(contents) + 1))
         return [flags[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 

@@ -152,9 +152,15 @@ class Bytes:
         flags[order[1:][same]] = True
         return [flags[s : s + n - self.window + 1] for s, n in zip(starts, sizes)]
 
-    def window_keys(self, content: bytes):
-        data = np.frombuffer(content, np.uint8).astype(np.uint64) + np.uint64(1)
-        return B.signed(B.Prefix(data, 0).all(self.window)), B.signed(B.Prefix(data, 1).all(self.window))
+    def rel(self, content: bytes) -> int:
+        data = np.frombuffer(content, np.uint8)
+        return int(self.blocks(data, np.array([0]), np.array([len(data)])).rel[0])
+
+    def units(self, content: bytes) -> bytes:
+        return content
+
+    def joined(self, units: bytes) -> bytes:
+        return units
 
     def spans(self, covered, size: int | None = None) -> list[tuple[int, int]]:
         """Ranges of window starts as maximal ranges of covered places."""

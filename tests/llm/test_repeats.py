@@ -144,3 +144,68 @@ def test_places_beyond_24_bits(monkeypatch):
     for found, last in ((found, 201), (R.word_blocks(names, np.zeros(size, np.int64), 35), 366)):
         _, at, anchor = windows_of(found)
         assert len(at) == at[-1] + 1 and (anchor[far : far + last] == anchor[1000 : 1000 + last]).all()
+
+
+def test_windows_longer_than_a_byte_counts(docs):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(1200)
+    rows = [(1, text(700) + shared + text(300)), (2, text(50) + shared + text(900)), (3, text(2000)), (4, shared[:399]), (5, shared[:400])]
+    assert rows_of(S.remove_repeated_bytes(docs(rows), 400)) == sorted(plain_bytes(rows, 400), key=str)
+    assert [r[2] for r in plain_bytes(rows, 400)] == [1200, 1200, 0, 0, 400]
+    with pytest.raises(ValueError):
+        S.remove_repeated_bytes(docs(rows), 1 << 16)
+
+
+def test_texts_of_over_16_mib(docs):
+    rng = np.random.default_rng(9)
+    long = rng.integers(97, 123, (1 << 24) + 100_000).astype(np.uint8).tobytes().decode()
+    shared = long[-60_000:-58_800]
+    words = [f"w{k}" for k in rng.permutation(2_000_000)]
+    many = " ".join(words * 9 + ["end"])  # over 16 M words, each window of which stands nine times
+    got = {r["doc_id"]: r["n_removed"] for r in S.remove_repeated_bytes(docs([(1, long), (2, "short " + shared + " text")])).collect()}
+    assert got == {1: 1200, 2: 1200}
+    found = R.remove_repeated_words(docs([(1, many), (2, "other " + " ".join(words[-20:] + ["end"] + [f"x{k}" for k in range(30)]))])).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in found} == {1: (18_000_001, 18_000_000), 2: (52, 0)}
+
+
+def test_words_that_polynomials_take_for_one(docs):
+    """A Thue-Morse word and its complement have one polynomial fingerprint modulo 2**64."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(rest[:20] + [one] + rest[20:])), (2, " ".join(rest[:20] + [two] + rest[20:])), (3, " ".join(rest[5:] + [one]))]
+    assert rows_of(R.remove_repeated_words(docs(rows))) == sorted(plain_words(rows, 35), key=str)
+
+
+@pytest.mark.parametrize("limit, steps", [(3, (16, 1)), (1, (5, 1))])
+def test_large_groups_of_different_contents(docs, monkeypatch, limit, steps):
+    monkeypatch.setattr(repeats, "LIMIT", limit)
+    monkeypatch.setattr(repeats, "STEPS", steps)
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghij") * 2 + str(rng.randint(0, 99)) for _ in range(80)]
+    rows = []
+    for d in range(40):
+        words = base[rng.randint(0, 20) :]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"edit{rng.randint(0, 9)}"
+        rows.append((d, " ".join(words)))
+    assert rows_of(S.remove_repeated_bytes(docs(rows), 60)) == sorted(plain_bytes(rows, 60), key=str)
+    assert rows_of(R.remove_repeated_words(docs(rows), 18)) == sorted(plain_words(rows, 18), key=str)
+
+
+def test_nothing_is_left_but_the_result(spark, docs, prose):
+    from larkspur.llm.common import release, results, shared_dir
+
+    release(results())
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = len(fs.listStatus(root)) if fs.exists(root) else 0
+    out = S.remove_repeated_bytes(docs(prose(4)))
+    (folder,) = results()
+    assert len(fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))) == 1 and out.count() > 0
+    release({folder})
+    assert len(fs.listStatus(root)) == before
+    with pytest.raises(Exception):
+        S.remove_repeated_bytes(docs(prose(4)).selectExpr("doc_id", "raise_error('no') AS text"))
+    assert len(fs.listStatus(root)) == before and not results()
