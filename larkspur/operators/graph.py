@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.staging import Staging
+
 #: Rows that one window partition numbers; more vertices than that are split at quantiles of their ids.
 BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 256
 
@@ -57,9 +59,9 @@ def running(rows: DataFrame, key: str, n_rows: int) -> tuple[DataFrame, list[int
     return rows.withColumn("bucket", place(0, len(bounds))), bounds
 
 
-def dense_vertices(ids: DataFrame) -> DataFrame:
-    """dense and vertex: numbers from 0 in ascending order of ids, without sorting all ids in one task."""
-    dealt, bounds = running(ids, "vertex", ids.count())
+def dense_vertices(ids: DataFrame, n: int | None = None) -> DataFrame:
+    """dense and vertex: numbers from 0 in ascending order of the n ids, without sorting all ids in one task."""
+    dealt, bounds = running(ids, "vertex", ids.count() if n is None else n)
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("vertex")) - 1
     before = F.lit(0)
     if bounds:
@@ -103,14 +105,19 @@ def summary(edges: DataFrame) -> DataFrame:
     return both.select("vertex_count", "input_edge_count", "edge_count", (F.col("input_edge_count") - F.col("edge_count")).alias("duplicate_edge_count"), "self_loop_count")
 
 
-def build_graph(edges: DataFrame) -> Graph:
-    """Lazy tables of a prepared graph; its counts are computed now."""
-    unique = distinct_edges(edges)
-    counts = summary(edges).first().asDict()
-    if not counts["edge_count"]:
+def build_graph(edges: DataFrame, staging: Staging | None = None) -> Graph:
+    """Staged tables of a prepared graph. Edges are grouped once and vertices numbered once; all else reads the results."""
+    staging = staging or Staging(edges.sparkSession)
+    groups = edges.groupBy("src", "dst").agg(F.count("*").alias("copies"))
+    unique, seen = staging.cut(groups, given=F.coalesce(F.sum("copies"), F.lit(0)), n=F.count("*"), loops=F.count_if(F.col("src") == F.col("dst")))
+    if not seen["n"]:
         raise ValueError("the input graph has no edges")
-    numbered = dense_vertices(vertex_ids(unique))
-    return Graph(outdegrees(unique, numbered).select("dense", "vertex", "outdeg"), pull_edges(unique, numbered), counts)
+    ids, met = staging.cut(vertex_ids(unique), n=F.count("*"))
+    numbered, _ = staging.cut(dense_vertices(ids, met["n"]))
+    vertices, _ = staging.cut(outdegrees(unique, numbered).select("dense", "vertex", "outdeg"), keep=True)
+    pulled, _ = staging.cut(pull_edges(unique, numbered), keep=True)
+    counts = {"vertex_count": met["n"], "input_edge_count": seen["given"], "edge_count": seen["n"], "duplicate_edge_count": seen["given"] - seen["n"], "self_loop_count": seen["loops"]}
+    return Graph(vertices, pulled, counts)
 
 
 def integrity(graph: Graph) -> DataFrame:

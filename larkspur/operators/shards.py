@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from larkspur.sources.staging import Staging
 
 #: Up to so many shards a nested condition finds the shard; more are joined by destination.
 INLINE = 1024
+#: Up to so many destinations (16 bytes each) are walked on the driver.
+LOCAL = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -40,22 +43,33 @@ def edges_before(edges: DataFrame) -> DataFrame:
 def plan_shards(edges: DataFrame, vertex_count: int, input_edge_count: int, shards: int) -> list[Shard]:
     """At most `shards` shards; one ends at the first destination before which its share of edges is complete.
 
-    The share is that of the edges as given, duplicates included. Each end is one lookup in a staged table of
-    prefix sums, so the driver sees one pair of numbers for each shard.
+    The share is that of the edges as given, duplicates included. Up to LOCAL destinations the driver walks
+    their prefix sums; of more, it looks up one pair of numbers for each shard in a staged, sorted table.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    staging = Staging(edges.sparkSession)
-    table, seen = staging.cut(edges_before(edges).orderBy("dst"), first=F.min("dst"), total=F.sum("edges"))
     share = max(1, -(-input_edge_count // shards))
-    starts, done = [0], [0]
-    while len(starts) < shards:
-        cut = table.where(F.col("before") >= done[-1] + share).agg(F.min(F.struct("dst", "before")).alias("at")).first()["at"]
-        if cut is None:
-            break
-        starts.append(cut["dst"])
-        done.append(cut["before"])
-    staging.drop(1)
+    with Staging(edges.sparkSession) as staging:
+        table, seen = staging.cut(edges_before(edges).orderBy("dst"), n=F.count("*"), total=F.sum("edges"))
+        if seen["n"] <= LOCAL:
+            found = table.select("dst", "before").toArrow()
+            dst, before = (found[c].to_numpy() for c in ("dst", "before"))
+            order = np.argsort(dst)
+            dst, before = dst[order], before[order]
+
+            def after(least: int) -> tuple[int, int] | None:
+                at = int(np.searchsorted(before, least))
+                return (int(dst[at]), int(before[at])) if at < len(dst) else None
+        else:
+
+            def after(least: int) -> tuple[int, int] | None:
+                at = table.where(F.col("before") >= least).agg(F.min(F.struct("dst", "before")).alias("at")).first()["at"]
+                return at and (at["dst"], at["before"])
+
+        starts, done = [0], [0]
+        while len(starts) < shards and (cut := after(done[-1] + share)):
+            starts.append(cut[0])
+            done.append(cut[1])
     ends = [*starts[1:], vertex_count]
     return [Shard(a, b, d - c) for a, b, c, d in zip(starts, ends, done, [*done[1:], seen["total"]])]
 

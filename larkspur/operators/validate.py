@@ -14,22 +14,47 @@ class ValidationError(ValueError):
     """Ranks that break a promise of the output."""
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a file with a key that grows along it."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at")
+    return spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), place)
+
+
+def _checked(rows: DataFrame, lines: DataFrame, path: str) -> DataFrame:
+    """vertex and rank of rows (at, fields, vertex, rank); raises at the first line that has not both, with its number."""
+    bad = rows.where((F.size("fields") != 2) | F.col("vertex").isNull() | F.col("rank").isNull()).agg(F.min("at").alias("at")).first()["at"]
+    if bad is not None:
+        here = F.struct(F.lit(bad["file_block_start"]).cast("long").alias("file_block_start"), F.lit(bad["row"]).cast("long").alias("row"))
+        raise ValidationError(f"{path}:{lines.where(F.col('at') <= here).count()}: a vertex and a rank are expected")
+    return rows.select("vertex", "rank")
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    field = lambda k: F.trim(F.get("fields", F.lit(k)))
+    return rows.select("at", "fields", field(0).try_cast("int").alias("vertex"), field(1).try_cast("double").alias("rank"))
+
+
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
-    """vertex and rank of a ranks CSV; its header must be `vertex,rank`. `ordered` tells whether a row comes after smaller ids only."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    if lines.first() is None or lines.first()[0].strip() != "vertex,rank":
+    """vertex and rank of a ranks CSV; its first line must be `vertex,rank`, each other one a row (blank lines are passed over)."""
+    lines = _numbered(spark, path)
+    first = lines.agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at")).first()
+    if first["value"] != "vertex,rank":
         raise ValidationError(f"{path} has no vertex,rank header")
-    parts = F.split(F.trim("value"), ",")
-    body = lines.where(F.trim("value") != "vertex,rank").where(F.trim("value") != "")
-    return body.select(F.get(parts, F.lit(0)).try_cast("int").alias("vertex"), F.get(parts, F.lit(1)).try_cast("double").alias("rank"))
+    header = (F.col("at.file_block_start") == first["at"]["file_block_start"]) & (F.col("at.row") == first["at"]["row"])
+    rows = lines.where(~header & (F.col("value") != "")).select("at", F.split("value", ",").alias("fields"))
+    return _checked(_numbers(rows), lines, path)
 
 
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
-    """vertex and rank of a reference file: separated by a comma or white space, with comments and perhaps a header."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("value"))
-    lines = lines.where((F.col("value") != "") & ~F.col("value").startswith("#") & ~F.lower("value").startswith("vertex"))
-    parts = F.split("value", r"[,\s]\s*")
-    return lines.select(F.get(parts, F.lit(0)).try_cast("int").alias("vertex"), F.get(parts, F.lit(1)).try_cast("double").alias("rank"))
+    """vertex and rank of a reference file: separated by a comma or white space, with comments; its first line of data may be a header."""
+    lines = _numbered(spark, path)
+    trimmed = F.regexp_replace(F.regexp_replace("value", r"^\s+", ""), r"\s+$", "")
+    rows = lines.select("at", trimmed.alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    rows = rows.select("at", F.when(F.contains("value", F.lit(",")), F.split("value", ",")).otherwise(F.split("value", r"\s+")).alias("fields"))
+    first = rows.agg(F.min_by("fields", "at").alias("fields"), F.min("at").alias("at")).first()
+    if first["fields"] and first["fields"][0].strip().lower() == "vertex":
+        rows = rows.where((F.col("at.file_block_start") != first["at"]["file_block_start"]) | (F.col("at.row") != first["at"]["row"]))
+    return _checked(_numbers(rows), lines, path)
 
 
 def rank_checks(ranks: DataFrame, accumulator: str = "decimal") -> DataFrame:
@@ -63,7 +88,7 @@ def compare(ranks: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def report(ranks: DataFrame, expected: DataFrame | None = None, relative_tolerance: float = RELATIVE_TOLERANCE) -> dict:
+def report(ranks: DataFrame, expected: DataFrame | None = None, relative_tolerance: float = RELATIVE_TOLERANCE, sum_tolerance: float = MASS_TOLERANCE) -> dict:
     """Raise ValidationError at the first broken promise; else the figures of the report."""
     row = rank_checks(ranks).first()
     if not row["vertices"]:
@@ -72,7 +97,7 @@ def report(ranks: DataFrame, expected: DataFrame | None = None, relative_toleran
         raise ValidationError(f"{row['repeated_vertices']} vertices are repeated or missing an id")
     if row["bad_ranks"]:
         raise ValidationError(f"{row['bad_ranks']} ranks are negative or not finite")
-    if abs(row["rank_sum"] - 1.0) > MASS_TOLERANCE:
+    if abs(row["rank_sum"] - 1.0) > sum_tolerance:
         raise ValidationError(f"ranks sum to {row['rank_sum']!r}")
     out = {k: row[k] for k in ("vertices", "rank_sum", "minimum_rank", "maximum_rank")} | {"maximum_absolute_error": None, "maximum_relative_error": None}
     if expected is not None:

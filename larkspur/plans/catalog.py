@@ -97,9 +97,23 @@ def self_loops(spark, d):
     return G.distinct_edges(GRAPHS["ev"](spark, d)).where("src = dst").select(F.col("src").alias("vertex"))
 
 
-@query("graph_integrity", "SELECT 0::BIGINT AS ids_out_of_range, 0::BIGINT AS repeated_edges, 0::BIGINT AS sources_without_degree, 0::BIGINT AS repeated_vertices, 0::BIGINT AS degree_excess")
+_FAULTS = f"""{O.prepared('trade')},
+de AS MATERIALIZED (SELECT b.dense AS dst, a.dense AS src FROM e JOIN v a ON a.vertex = e.src JOIN v b ON b.vertex = e.dst),
+n AS (SELECT count(*) AS n FROM v),
+be AS MATERIALIZED (SELECT * FROM de UNION ALL SELECT * FROM de WHERE dst % 5 = 0 UNION ALL SELECT dst + n, src FROM de, n WHERE dst % 7 = 0),
+bv AS MATERIALIZED (SELECT dense, CASE WHEN dense % 3 = 1 THEN 0 ELSE outdeg END AS outdeg FROM g UNION ALL SELECT dense, 0 FROM g WHERE dense % 11 = 0)
+SELECT (SELECT count(*) FROM be, n WHERE dst >= n OR src >= n) AS ids_out_of_range, (SELECT count(*) FROM be) - (SELECT count(*) FROM (SELECT DISTINCT * FROM be)) AS repeated_edges,
+(SELECT count(*) FROM be WHERE src NOT IN (SELECT dense FROM bv WHERE outdeg > 0)) AS sources_without_degree,
+(SELECT count(*) - count(DISTINCT dense) FROM bv) AS repeated_vertices, CAST((SELECT sum(outdeg) FROM bv) - (SELECT count(*) FROM e) AS BIGINT) AS degree_excess"""
+
+
+@query("graph_integrity", _FAULTS)
 def graph_integrity(spark, d):
-    return G.integrity(G.build_graph(GRAPHS["trade"](spark, d)))
+    """A graph with planted faults of every kind."""
+    g = G.build_graph(GRAPHS["trade"](spark, d))
+    edges = g.edges.union(g.edges.where("dst % 5 = 0")).union(g.edges.where("dst % 7 = 0").selectExpr(f"dst + {g.summary['vertex_count']}", "src"))
+    vertices = g.vertices.withColumn("outdeg", F.expr("CASE WHEN dense % 3 = 1 THEN 0 ELSE outdeg END")).union(g.vertices.where("dense % 11 = 0").selectExpr("dense", "vertex", "0L"))
+    return G.integrity(G.Graph(vertices, edges, g.summary))
 
 
 def _plan(spark, d):
@@ -146,11 +160,25 @@ def edge_text_stats(spark, d):
     return E.line_counts(_lines(spark, d))
 
 
-@query("edge_fingerprint", f"{O.prepared('cs')}\nSELECT count(*) AS edges, true AS order_free FROM input")
+_SAME = "NOT EXISTS (SELECT src, dst FROM input EXCEPT ALL SELECT src, dst FROM {0}) AND NOT EXISTS (SELECT src, dst FROM {0} EXCEPT ALL SELECT src, dst FROM input)"
+
+
+@query(
+    "edge_fingerprint",
+    f"""{O.prepared('cs')},
+moved AS MATERIALIZED (SELECT src, dst FROM input ORDER BY dst DESC, src), turned AS (SELECT CASE WHEN src = 7 THEN dst ELSE src END AS src, CASE WHEN src = 7 THEN src ELSE dst END AS dst FROM input),
+fewer AS (SELECT DISTINCT src, dst FROM input)
+SELECT count(*) AS edges, {_SAME.format('moved')} AS order_free, {_SAME.format('turned')} AS turned_alike, {_SAME.format('fewer')} AS fewer_alike FROM input""",
+)
 def edge_fingerprint(spark, d):
+    """Equal for the same edges in another order; not for edges that were turned round or lost."""
     edges = GRAPHS["cs"](spark, d)
-    one, two = E.fingerprint(edges), E.fingerprint(edges.repartition(3, "dst").sortWithinPartitions(F.desc("src")))
-    return one.join(two.select(F.col("fingerprint").alias("again")), F.lit(True)).select("edges", (F.col("fingerprint") == F.col("again")).alias("order_free"))  # one row each
+    turned = edges.selectExpr("CASE WHEN src = 7 THEN dst ELSE src END AS src", "CASE WHEN src = 7 THEN src ELSE dst END AS dst")
+    others = {"order_free": edges.repartition(3, "dst").sortWithinPartitions(F.desc("src")), "turned_alike": turned, "fewer_alike": edges.distinct()}
+    out = E.fingerprint(edges)
+    for name, other in others.items():
+        out = out.join(E.fingerprint(other).select(F.col("fingerprint").alias(name)), F.lit(True))  # one row each
+    return out.select("edges", *[(F.col("fingerprint") == F.col(name)).alias(name) for name in others])
 
 
 @query("pagerank_init", f"{O.iterated('ev', 0)}\nSELECT vertex, outdeg, round(rank, 10) AS rank FROM r0")
@@ -205,6 +233,22 @@ def rank_validation(spark, d):
     return row.select("vertices", *[F.round(c, 10).alias(c) for c in ("rank_sum", "minimum_rank", "maximum_rank")], "bad_ranks", "repeated_vertices")
 
 
+@query(
+    "rank_faults",
+    f"""{O.iterated('trade', 1)},
+b AS (SELECT vertex, CASE WHEN vertex % 7 = 0 THEN -rank WHEN vertex % 11 = 0 THEN 'nan'::DOUBLE WHEN vertex % 13 = 0 THEN NULL WHEN vertex % 17 = 0 THEN 'inf'::DOUBLE ELSE rank END AS rank FROM r1
+  UNION ALL SELECT vertex, rank FROM r1 WHERE vertex % 5 = 0)
+SELECT count(*) AS vertices, count(*) FILTER (rank IS NULL OR isnan(rank) OR isinf(rank) OR rank < 0) AS bad_ranks, count(*) - count(DISTINCT vertex) AS repeated_vertices FROM b""",
+)
+def rank_faults(spark, d):
+    """Ranks with planted faults of every kind."""
+    ranks = P.run(GRAPHS["trade"](spark, d), P.Options(iterations=1)).ranks
+    bad = ranks.selectExpr(
+        "vertex", "CASE WHEN vertex % 7 = 0 THEN -rank WHEN vertex % 11 = 0 THEN double('nan') WHEN vertex % 13 = 0 THEN NULL WHEN vertex % 17 = 0 THEN double('inf') ELSE rank END AS rank"
+    )
+    return V.rank_checks(bad.union(ranks.where("vertex % 5 = 0"))).select("vertices", "bad_ranks", "repeated_vertices")
+
+
 @query(
     "rank_compare",
     f"""{O.iterated('ev', 4)}

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.staging import Staging
+
 #: Two integers with at most one comma between them. Possessive parts: no digit is given back to make two numbers of one.
 EDGE = r"^\s*+(-?+\d++)\s*+,?+\s*+(-?+\d++)\s*+$"
-SKIPPED = r"^\s*+(?:#.*)?+$"
+BLANK, COMMENT = r"^\s*+$", r"^\s*+#"
+#: Stands in no edge.
+MARK = "\u0001"
 # Words that a header must contain, one of each group.
 FROM_WORDS, TO_WORDS = ("from", "source"), ("to", "target", "destination")
 
@@ -27,12 +31,9 @@ class InputStats:
     fingerprint: str
 
 
-def parsed(value: Column) -> tuple[Column, Column]:
-    """Source and destination of a line; null where the line is no edge."""
-    src = F.regexp_extract(value, EDGE, 1).try_cast("int")
-    dst = F.regexp_extract(value, EDGE, 2).try_cast("int")
-    both = src.isNotNull() & dst.isNotNull()
-    return F.when(both, src), F.when(both, dst)
+def _pair(value: Column) -> Column:
+    """Both numbers of a line behind MARK, with a blank between them; the line itself where it is no edge. One search."""
+    return F.regexp_replace(value, EDGE, f"{MARK}$1 $2")
 
 
 def header_like(value: Column) -> Column:
@@ -43,12 +44,15 @@ def header_like(value: Column) -> Column:
 
 def classified(lines: DataFrame) -> DataFrame:
     """lines (`value` and others) with src, dst and kind: edge, comment, blank, header (by its words alone) or bad."""
-    src, dst = parsed(F.col("value"))
-    trimmed = F.regexp_replace("value", r"^\s++", "")
-    kind = (
-        F.when(src.isNotNull(), "edge").when(trimmed == "", "blank").when(trimmed.startswith("#"), "comment").when(header_like(F.col("value")), "header").otherwise("bad")
-    )
-    return lines.select("*", src.alias("src"), dst.alias("dst"), kind.alias("kind"))
+    names = lines.columns
+    pair, whole = F.col("pair"), F.col("value")
+    # Steps of their own, so that each line is searched once and each number cast once.
+    found = lines.withColumn("pair", _pair(whole))
+    found = found.withColumn("pair", F.when(pair.startswith(MARK) & ~whole.startswith(MARK), F.split(F.substring(pair, 2, 1 << 30), " ")))
+    found = found.withColumn("pair", F.struct(pair[0].try_cast("int").alias("src"), pair[1].try_cast("int").alias("dst")))
+    fine = F.col("pair.src").isNotNull() & F.col("pair.dst").isNotNull()
+    kind = F.when(fine, "edge").when(whole.rlike(BLANK), "blank").when(whole.rlike(COMMENT), "comment").when(header_like(whole), "header").otherwise("bad")
+    return found.select(*names, F.when(fine, F.col("pair.src")).alias("src"), F.when(fine, F.col("pair.dst")).alias("dst"), kind.alias("kind"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -66,16 +70,8 @@ def _place(at) -> Column:
     return F.struct(F.lit(at["file_path"]).alias("file_path"), F.lit(at["file_block_start"]).cast("long").alias("file_block_start"), F.lit(at["row"]).cast("long").alias("row"))
 
 
-def _check(spark: SparkSession, path: str) -> int:
-    """Number of headers; raises at the first line that is neither edge, comment, blank nor a first header."""
-    rows = classified(_lines(spark, path))
-    if not rows.where("kind IN ('header', 'bad')").limit(1).count():
-        return 0
-    # Rare path: place the odd lines among the edges. Aggregates only; nothing is sorted or gathered.
-    rows = _ordered(spark, path)
-    edge = F.when(F.col("kind") == "edge", F.col("at"))
-    header = F.when(F.col("kind") == "header", F.col("at"))
-    seen = rows.agg(F.min(edge).alias("edge"), F.min(header).alias("header")).first()
+def _odd_lines(rows: DataFrame, path: str, seen: dict) -> int:
+    """Number of headers of placed lines; raises at the first line that is neither edge, comment, blank nor a first header."""
     legal = seen["header"] if seen["header"] and (not seen["edge"] or tuple(seen["header"]) < tuple(seen["edge"])) else None
     odd = rows.where("kind IN ('header', 'bad')")
     if legal:
@@ -87,10 +83,28 @@ def _check(spark: SparkSession, path: str) -> int:
     raise EdgeListError(f"invalid edge at {path}:{number}: {bad['value']}")
 
 
+def ingest(spark: SparkSession, path: str, staging: Staging) -> tuple[DataFrame, InputStats]:
+    """src and dst of every edge of a text file, duplicates included, in a staged table, and what the file holds.
+
+    The text is read once: lines are counted, and odd ones noticed, while the edges are written. Whatever
+    follows reads the table, so it cannot see another state of the file.
+    """
+    rows = _ordered(spark, path)
+    of = lambda k: F.count_if(F.col("kind") == k)
+    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("at")))
+    seen = Observation()
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("lines"), *[of(k).alias(f"n_{k}") for k in ("edge", "comment", "header", "bad")], first("edge").alias("edge"), first("header").alias("header"))
+    hashed = F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    edges, told = staging.cut(watched.where("kind = 'edge'").select("src", "dst"), fingerprint=hashed)
+    got = seen.get
+    # Rare path: place the odd lines among the edges. Aggregates only; nothing is sorted or gathered.
+    headers = _odd_lines(rows, path, got) if got["n_header"] or got["n_bad"] else 0
+    return edges, InputStats(got["lines"], got["n_edge"], got["n_comment"], headers, told["fingerprint"])
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """src and dst of every edge of a text file, duplicates included."""
-    _check(spark, path)
-    return classified(_lines(spark, path)).where("kind = 'edge'").select("src", "dst")
+    return ingest(spark, path, Staging(spark))[0]
 
 
 def fingerprint(edges: DataFrame) -> DataFrame:
@@ -105,10 +119,8 @@ def line_counts(lines: DataFrame) -> DataFrame:
 
 
 def input_stats(spark: SparkSession, path: str) -> InputStats:
-    headers = _check(spark, path)
-    rows = classified(_lines(spark, path))
-    n, print_ = line_counts(rows).first(), fingerprint(rows.where("kind = 'edge'").select("src", "dst")).first()
-    return InputStats(n["lines"], n["edges"], n["comments"], headers, print_["fingerprint"])
+    with Staging(spark) as staging:
+        return ingest(spark, path, staging)[1]
 
 
 def verify_unchanged(spark: SparkSession, path: str, before: InputStats) -> None:

@@ -115,6 +115,20 @@ def validate_graph(spark: SparkSession, path: str) -> Manifest:
             raise StorageError(f"shard {number} has edges outside its range")
     if found:
         raise StorageError("there are edges of shards that the manifest does not name")
+    n = manifest.vertex_count
+    numbers = graph.vertices.agg(F.count_distinct("dense").alias("n"), F.min("dense").alias("lo"), F.max("dense").alias("hi"), F.count_distinct("vertex").alias("ids"), F.coalesce(F.sum("outdeg"), F.lit(0)).alias("edges")).first()
+    if n and (numbers["n"], numbers["lo"], numbers["hi"], numbers["ids"]) != (n, 0, n - 1, n):
+        raise StorageError("vertices are not numbered from 0 on, one number an id")
+    if numbers["edges"] != manifest.edge_count:
+        raise StorageError("the degrees do not add up to the number of edges")
+    ahead = graph.vertices.agg(F.max(F.struct("dense", "vertex"))["vertex"].alias("last"), F.max("vertex").alias("most")).first()
+    if ahead["last"] != ahead["most"]:
+        raise StorageError("numbers do not ascend with ids")
+    # Every source must be a vertex and have as many edges as its degree says.
+    sources = graph.edges.groupBy(F.col("src").alias("dense")).agg(F.count("*").alias("n"), F.count_distinct("dst").alias("different"))
+    odd = sources.join(graph.vertices.where("outdeg > 0"), "dense", "full_outer").where("outdeg IS NULL OR n IS NULL OR n <> outdeg OR n <> different")
+    if not odd.isEmpty():
+        raise StorageError("there are sources that are no vertices, repeated edges, or degrees that differ from the edges")
     return manifest
 
 
@@ -140,14 +154,22 @@ def write_ranks(ranks: DataFrame, path: str) -> None:
     check_output(spark, path)
     building = f"{path}.tmp"
     try:
-        # The sort is spread over ranges; the single writing task only reads them one after another.
-        ranks.select("vertex", "rank").orderBy("vertex").coalesce(1).write.option("header", True).csv(building)
-        fs, folder = filesystem(spark, building)
-        parts = [s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
-        if len(parts) != 1:
-            raise StorageError(f"expected one part in {building}, found {len(parts)}")
-        rename(spark, parts[0], path)
+        # Sorted parts are written side by side; joining them copies bytes.
+        ranks.select("vertex", "rank").orderBy("vertex").write.csv(f"{building}/parts")
+        fs, folder = filesystem(spark, f"{building}/parts")
+        parts = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        out = fs.create(filesystem(spark, f"{building}/ranks")[1], False)
+        try:
+            out.write(bytearray(b"vertex,rank\n"))
+            for part in parts:
+                stream = fs.open(filesystem(spark, part)[1])
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+        rename(spark, f"{building}/ranks", path)
     finally:
         remove(spark, building)
-
-
