@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, language, leaks, lines, near
-from larkspur.llm.common import Stage, documents
+from larkspur.llm.common import Stage, documents, release, results
 
 #: Some stages learn or are exact procedures that SQL can't state; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
@@ -54,10 +54,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, stage, before = documents(spark, sf_dir), Stage(spark), None
-    for _, apply in STAGES:
-        docs = stage.cut(apply(spark, docs, sf_dir))
-        if before is not None:
-            stage.drop(before)
-        before = docs
+    docs, before = documents(spark, sf_dir), None
+    with Stage(spark) as stage:
+        for k, (_, apply) in enumerate(STAGES):
+            held = results()
+            docs = stage.cut(apply(spark, docs, sf_dir), keep=k + 1 == len(STAGES))
+            # What the stage was made of has been read.
+            release(results() - held)
+            if before is not None:
+                stage.drop(before)
+            before = docs
     return docs
