@@ -8,7 +8,7 @@ repeated lowest-rank merging, in time linear in the text.
 
 The vocabulary is read on the driver (`path` is a parameter) and broadcast: a fixed few MB. Encoding is
 one Arrow pass without a shuffle; each worker builds the automaton once and remembers pre-tokens it has
-met, up to MEMO of them. Whole texts are encoded: null and empty texts give no ids; special tokens in a
+met, up to MEMO of them, and pairs of tokens, up to PAIRS. Whole texts are encoded: null and empty texts give no ids; special tokens in a
 text get their own ids; copies get equal results; a pre-token of any length takes linear time and is
 not remembered; columns of docs named like our results are replaced. Bytes that are no UTF-8 are read
 as U+FFFD.
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import documents
+from larkspur.llm.common import documents, unused
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-MEMO, LONG = 400_000, 48
+MEMO, LONG, PAIRS = 400_000, 48, 2_000_000
 
 
 def byte_names() -> dict[str, int]:
@@ -125,6 +125,8 @@ class Encoder:
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             known = self.fits[key] = self._border_holds(left, right)
         return known
 
@@ -227,21 +229,22 @@ def _appended(docs: DataFrame, path: str, fields: list[tuple[str, T.DataType]],
     from pyspark.sql.pandas.types import to_arrow_type
 
     plain = docs.drop(*[name for name, _ in fields])
+    (raw,) = unused(plain, "bytes")
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         coder = encoder(spec.value)
         for batch in batches:
-            found = [of(coder, (t or b"").decode("utf-8", "replace")) for t in batch.column("_bytes").to_pylist()]
-            names = [name for name in batch.schema.names if name != "_bytes"]
-            cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "_bytes"]
+            found = [of(coder, (t or b"").decode("utf-8", "replace")) for t in batch.column(raw).to_pylist()]
+            names = [name for name in batch.schema.names if name != raw]
+            cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != raw]
             made = list(zip(*found)) or [()] * len(fields)
             cols += [pa.array(values, to_arrow_type(kind)) for values, (_, kind) in zip(made, fields)]
             yield pa.RecordBatch.from_arrays(cols, names=names + [name for name, _ in fields])
 
     schema = T.StructType(plain.schema.fields + [T.StructField(name, kind) for name, kind in fields])
-    return plain.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

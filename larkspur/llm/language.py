@@ -4,13 +4,15 @@ Each learned language gets a codeword of +1 and -1. For every bit a binary class
 trigrams learns whether a text belongs to the languages with +1 there; a text's margins are decoded to
 the codeword of least weighted logistic loss. `ambiguous` marks texts whose winner is not clear.
 
-Training takes a bounded sample, SAMPLE texts a language at most (in expectation) of the LANGS commonest
-languages, picked by a hash of doc_id among the rows with a language that are not held out; the sample is all that the driver sees, and the model is a
-fixed table of BUCKETS x bits floats. Prediction is one Arrow pass without a shuffle.
+Training takes a bounded sample, SAMPLE texts of each language at most (in expectation), picked by a hash
+among the rows with a language that are not held out. Three of four of them are counted, the fourth measures how far the
+classifiers can be trusted (scale of margins, weight of losses); both happen on the executors, and the
+driver sees BUCKETS numbers a language at most. Every language is learned, however rare. The model is a
+table of BUCKETS x bits floats. Prediction is one Arrow pass without a shuffle.
 
 Texts that are null or have no letters get `und` and 0; so does everything when no row has a language.
 Copies get equal answers, ties go to the first language in alphabetical order, very long texts are read
-whole, and columns of docs named like our results are replaced.
+whole, rows without a doc_id are not held out, and columns of docs named like our results are replaced.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import documents
+from larkspur.llm.common import documents, unused
 
-BUCKETS, SAMPLE, LANGS, CLEAR = 1 << 15, 300, 256, 0.6
+BUCKETS, SAMPLE, CLEAR = 1 << 15, 300, 0.6
 LETTER = regex.compile(r"\p{L}")
 RESULTS = ("lang_pred", "score", "ambiguous")
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _fold() -> np.ndarray:
@@ -62,31 +64,34 @@ def codewords(n: int) -> np.ndarray:
 
 
 class Coder:
-    """Codewords, classifier weights and their loss weights; small and of a size that no input changes."""
+    """Codewords, classifier weights and their loss weights, of a size that only the number of languages changes."""
 
-    def __init__(self, sample: list[tuple[bytes, str]]):
-        self.langs = sorted({lang for _, lang in sample})
-        if not self.langs:
+    def __init__(self, langs: list[str], counts: np.ndarray):
+        """counts: how often each language's sample has the grams of each bucket."""
+        self.langs = langs
+        if not langs:
             return
-        place = {lang: k for k, lang in enumerate(self.langs)}
-        counts = np.full((len(self.langs), BUCKETS), 0.05)
-        coded = [(grams(text), place[lang]) for text, lang in sample]
-        for g, k in coded:
-            counts[k] += np.bincount(g, minlength=BUCKETS)
-        share = counts / counts.sum(axis=1, keepdims=True)
-        self.code = codewords(len(self.langs))
+        share = counts + 0.05
+        share = share / share.sum(axis=1, keepdims=True)
+        self.code = codewords(len(langs))
         plus = (self.code > 0).astype(float)
         side = lambda member: (member.T @ share) / np.maximum(member.sum(axis=0), 1)[:, None] + 1e-12
         self.weights = (np.log(side(plus)) - np.log(side(1 - plus))).T.astype(np.float32)
-        margins = np.array([self.weights[g].mean(axis=0) for g, _ in coded])
-        truth = self.code[[k for _, k in coded]]
-        self.scale = 3.0 / np.maximum(np.abs(margins).mean(axis=0), 1e-6)
-        self.loss_weight = np.maximum(np.mean(margins * truth > 0, axis=0) - 0.5, 0.01) * 2
+        self.scale, self.loss_weight = np.ones(self.code.shape[1]), np.ones(self.code.shape[1])
+
+    def margin(self, text: bytes) -> np.ndarray:
+        return self.weights[grams(text)].mean(axis=0, dtype=np.float64)
+
+    def trust(self, n: int, sizes: np.ndarray, right: np.ndarray) -> None:
+        """From n texts: sums of the margins' sizes, and how often each classifier was right."""
+        if n:
+            self.scale = 3.0 / np.maximum(sizes / n, 1e-6)
+            self.loss_weight = np.maximum(right / n - 0.5, 0.01) * 2
 
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:
         if text is None or not self.langs or not LETTER.search(text.decode("utf-8", "replace")):
             return "und", 0.0, True
-        margin = self.weights[grams(text)].mean(axis=0) * self.scale
+        margin = self.margin(text) * self.scale
         loss = (np.logaddexp(0, -self.code * margin) * self.loss_weight).sum(axis=1)
         odds = np.exp(loss.min() - loss)
         best = int(np.argmin(loss))
@@ -96,16 +101,46 @@ class Coder:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Coder:
     """Fit on rows that have a language and are not held out, `sample` of each language at most (in expectation)."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    if not sizes:
-        return Coder([])
-    part = F.lit(0.0)
-    for row in sizes:
-        part = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample / row["count"]))).otherwise(part)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < part * 1_000_000)
-    rows = picked.select(F.col("text").cast("binary").alias("text"), "lang").limit(2 * sample * len(sizes)).collect()
-    return Coder([(bytes(r["text"]), r["lang"]) for r in rows])
+    import pyarrow as pa
+
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.select(F.xxhash64("doc_id", "text", F.lit("language")).alias("draw"), F.col("text").cast("binary").alias("text"), "lang")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    langs = sorted(sizes)
+    if not langs:
+        return Coder([], np.zeros((0, BUCKETS)))
+    place = {lang: k for k, lang in enumerate(langs)}
+    parts = docs.sparkSession.createDataFrame([(lang, place[lang], min(1.0, sample / n) * 1_000_000) for lang, n in sizes.items()], "lang string, k int, part double")
+    picked = known.join(F.broadcast(parts), "lang").where(F.pmod("draw", F.lit(1_000_000)) < F.col("part"))
+    picked = picked.select("k", "text", (F.pmod(F.xxhash64("draw"), F.lit(4)) == 0).alias("judge"))
+
+    def count(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
+                total[k] = total.get(k, 0) + np.bincount(grams(text), minlength=BUCKETS)
+        for k, found in total.items():
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["k", "bucket", "n"])
+
+    counted = picked.where("NOT judge").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(langs), BUCKETS))
+    counts[counted["k"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    coder = Coder(langs, counts)
+
+    def measure(batches):
+        n, bits = 0, coder.code.shape[1]
+        sizes, right = np.zeros(bits), np.zeros(bits)
+        for batch in batches:
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
+                margin = coder.margin(text)
+                n, sizes, right = n + 1, sizes + np.abs(margin), right + (margin * coder.code[k] > 0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sizes.tolist()]), pa.array([right.tolist()])], names=["n", "sizes", "right"])
+
+    rows = picked.where("judge").mapInArrow(measure, "n long, sizes array<double>, right array<double>").collect()  # one row a task
+    coder.trust(sum(r["n"] for r in rows), sum((np.array(r["sizes"]) for r in rows), np.zeros(1)), sum((np.array(r["right"]) for r in rows), np.zeros(1)))
+    return coder
 
 
 def identify(docs: DataFrame, coder: Coder) -> DataFrame:
@@ -113,19 +148,20 @@ def identify(docs: DataFrame, coder: Coder) -> DataFrame:
     import pyarrow as pa
 
     plain = docs.drop(*RESULTS)
+    (raw,) = unused(plain, "bytes")
     schema = T.StructType(plain.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("_bytes").to_pylist()]
-            cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "_bytes"]
-            names = [name for name in batch.schema.names if name != "_bytes"]
+            found = [model.predict(t) for t in batch.column(raw).to_pylist()]
+            cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != raw]
+            names = [name for name in batch.schema.names if name != raw]
             out = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=[*names, *RESULTS])
 
-    return plain.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Benchmark decontamination (10): template canonicalisation, in DataFrame functions alone.
 
-Texts of the corpus and of the benchmark become token templates: numbers, names (capitalised words inside
-a sentence) and units turn into typed placeholders, case and punctuation go. Windows of WINDOW template
+Texts of the corpus and of the benchmark become token templates: numbers, names (each capitalised word inside
+a sentence; not the first, which any sentence capitalises) and units turn into typed placeholders, case and punctuation go. Windows of WINDOW template
 tokens are hashed and joined. For the windows that meet, the values behind the placeholders are compared:
 along one alignment of an item with a document, each value of the item must stand for one value of the
 document and the other way round, so a question with changed numbers or names is caught and a chance
@@ -10,7 +10,8 @@ all) do.
 
 The scan makes one row of three numbers a window, without a shuffle while the benchmark is small: its
 windows are broadcast only if there are at most SMALL of them, else both sides are shuffled on the hash.
-Only windows that met are shuffled further; texts of documents with a match are read once more.
+Only windows that met are shuffled further; texts of documents with a match are read once more, without a shuffle
+while at most BROADCAST_ROWS windows met.
 
 Windows with fewer than LITERALS words that are no placeholders would meet too much as templates. They are
 searched by their words, values included, and count only for items that the other windows do not report
@@ -27,21 +28,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import documents, words
+from larkspur.llm.common import Stage, at_most, documents, unused, words
 
 WINDOW, SHARE, LEAST, SHORTEST, LITERALS, SMALL = 8, 0.3, 3, 4, 4, 50_000
 
 # Units that follow a number, and punctuation that carries no meaning here.
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms usd eur gbp percent degrees dollars euros hours minutes seconds days weeks months years meters metres miles grams litres liters".split()
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-NAME = r"([\p{Ll},;:] )(\p{Lu}\p{L}*)"
+#: A capitalised word behind a small letter or a comma and one blank; what stands before is looked at only, so that each word of a name counts.
+NAME = r"(?<=[\p{Ll},;:] )(\p{Lu}\p{L}*)"
 MARK = "\u0001"
 KINDS = ("<num>", "<name>", "<unit>")
 
 
 def canonical(text: Column) -> tuple[Column, Column]:
     """The text with its values kept, names marked, and the text with placeholders; both have the same tokens apart from that."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, f"$1{MARK}$2")
+    named = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, f"{MARK}$1")
     valued = F.lower(F.translate(named, PUNCTUATION, ""))
     # Possessive parts and look-behinds only save work; they match what the plain patterns match.
     start, end, word = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])", r"[^\x20\x09-\x0D]"
@@ -92,7 +94,11 @@ def _verbatim(poor: DataFrame, slim: DataFrame, valued: Column) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, windows of the item, how many of them the document holds, and whether values differ (re-parameterised)."""
-    spark = docs.sparkSession
+    with Stage(docs.sparkSession) as stage:
+        return stage.cut(_leaks(docs, benchmark, stage, share), keep=True)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, stage: Stage, share: float) -> DataFrame:
     valued, typed = canonical(F.col("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(valued).alias("v"), words(typed).alias("t")).where(F.size("t") >= 1)
     short = sorted(r[0] for r in items.where(F.size("t") < WINDOW).select(F.size("t")).distinct().collect())  # sizes under WINDOW: a handful
@@ -115,9 +121,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     # Documents: windows that meet one of the benchmark's.
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     met = _placed(slim.select("doc_id", "tag", words(typed).alias("t")), ["doc_id", "tag"], sizes).join(keys, ["size", "hash"], "left_semi")
+    met = stage.cut(met)
+    n_met = met.count()
     places = met.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("size", "hash", "at")).alias("met"))
     # The values behind the placeholders, for those documents alone (a row given twice adds nothing to the sets below).
-    again = slim.join(places, ["doc_id", "tag"]).select("doc_id", "tag", words(valued).alias("v"), "met")
+    again = slim.join(at_most(places, n_met), ["doc_id", "tag"]).select("doc_id", "tag", words(valued).alias("v"), "met")
     again = again.select("doc_id", "tag", F.explode(F.transform("met", lambda m: F.struct(m["size"].alias("size"), m["hash"].alias("hash"), m["at"].alias("at"), F.slice("v", m["at"] + 1, m["size"]).alias("dv")))).alias("m"))
     again = again.select("doc_id", "tag", "m.*")
     pairs = again.join(F.broadcast(asked) if asked.count() <= SMALL else asked, ["size", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
@@ -150,8 +158,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs without the documents that hold an item."""
-    leaked = leaks(docs, benchmark, share).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long") == F.col("_leaked"), "left_anti")
+    (gone,) = unused(docs, "leaked_id")
+    leaked = leaks(docs, benchmark, share).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(at_most(leaked, leaked.count()), docs["doc_id"].cast("long") == F.col(gone), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BROADCAST_ROWS, Stage, at_most, documents, unused, words
+from larkspur.llm.common import BROADCAST_ROWS, Stage, at_most, documents, unused
 
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 FIELD = "<*>"
@@ -40,6 +40,12 @@ def _keys(text) -> list:
     return [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
 
 
+def _words(line):
+    """As words(), for lines: most have no blanks but spaces, and splitting at one character needs no pattern."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    return F.array_remove(F.split(F.when(other, F.translate(line, "\t\r\x0b\f", "    ")).otherwise(line), " "), "")
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """A row for each line with a token: its text, its place, its masked tokens, its leaf and a name of it all."""
     t = F.col("text")
@@ -47,7 +53,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     masked = F.split(F.when(t.rlike("[0-9]"), F.regexp_replace(t, VARIABLE, FIELD)).otherwise(t), "\n")
     k1, k2 = _keys(t)
     at = docs.where(t.isNotNull()).select(k1.alias("k1"), k2.alias("k2"), F.posexplode(masked).alias("pos", "line"))
-    at = at.select("k1", "k2", "pos", words(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
+    at = at.select("k1", "k2", "pos", _words(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
     return at.withColumn("leaf", F.xxhash64("n", F.slice("tokens", 1, depth))).withColumn("name", F.xxhash64("tokens"))
 
 

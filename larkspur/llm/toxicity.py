@@ -4,16 +4,17 @@ A token's score is its log-odds between toxic and clean documents under a Dirich
 part that follows the overall counts), less a small drift that keeps segments local. One linear scan of a text finds all
 its maximal scoring segments; by the statistics of such segments in clean text (Karlin and Altschul:
 sum of p exp(lambda s) = 1, and K from clean documents) each has an expected number of chance
-occurrences, which tells significant passages from noise. A logistic curve over that evidence, fitted
-on labelled rows, gives the probability.
+occurrences, which tells significant passages from noise. A logistic curve over that evidence gives the
+probability. Curve and constants are cross-fitted: FOLDS models leave out a part of the sample each and measure that part
+alone, so no text is evidence about scores that it made; the scores that are used come from the whole sample.
 
 The model learns from a bounded sample: SAMPLE labelled rows of each class at most (in expectation),
-picked by a hash of doc_id among rows that are not held out, and MODEL tokens at most. Counts are
-aggregated in Spark, over one text of each group of near copies in the sample (copies would lend their
-rare words the weight of evidence); the driver sees the chosen tokens and one row for each sampled text. Scoring is one
+picked by a hash of doc_id among rows that are not held out. Counts are aggregated in Spark, over one text of each group of near copies in the sample (copies would lend their
+rare words the weight of evidence); the driver sees the tokens that tell the classes apart (LEAST_Z, LEAST_SEEN) and three
+numbers for each sampled text. All segments of a text count, in training as in scoring, which is one
 Arrow pass over whole texts without a shuffle.
 
-Null and empty texts score as texts without evidence; without labels of both classes all score 0. Rows
+Rows without a doc_id are not held out. Null and empty texts score as texts without evidence; without labels of both classes all score 0. Rows
 labelled twice count twice; tied segments keep the leftmost; copies score alike; columns of docs named
 like our results are replaced.
 """
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import documents
+from larkspur.llm.common import Stage, documents, unused
 
-SAMPLE, MODEL, FLOOR, PRIOR, LEAST_Z, LEAST_SEEN, DRIFT = 3000, 20_000, 0.5, 500.0, 3.0, 5, 0.05
+SAMPLE, FOLDS, FLOOR, PRIOR, LEAST_Z, LEAST_SEEN, DRIFT = 3000, 4, 0.5, 500.0, 3.0, 5, 0.05
 SKETCHES = 4
 TOKEN = regex.compile(r"\p{L}+").findall
 SIGNIFICANT = 0.01
@@ -40,7 +41,7 @@ LEVEL = -math.log(-math.log1p(-SIGNIFICANT))
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def tokens(text: bytes | None) -> list[str]:
@@ -162,22 +163,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     single = rows.mapInArrow(sketch, "text binary, toxic int, " + ", ".join(f"s{k} long" for k in range(SKETCHES)))
     for k in range(SKETCHES):
         single = single.dropDuplicates(["toxic", f"s{k}"])
-    single = single.select("text", "toxic")
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    single = single.select("text", "toxic", fold.alias("fold"))
 
     def count(batches):
         for batch in batches:
-            tally: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            tally: dict[tuple[int, str], list[int]] = {}
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 found = tokens(text)
                 for t in set(found):
-                    tally.setdefault(t, [0, 0, 0])[toxic] += 1
+                    tally.setdefault((fold, t), [0, 0, 0])[toxic] += 1
                 if not toxic:
                     for t in found:
-                        tally[t][2] += 1
+                        tally[fold, t][2] += 1
             cols = list(zip(*tally.values())) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["token", "y0", "y1", "seen"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f for f, _ in tally], pa.int32()), pa.array([t for _, t in tally], pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["fold", "token", "y0", "y1", "seen"]
+            )
+
+    with Stage(docs.sparkSession) as stage:
+        single = stage.cut(single)  # which of near copies stays is settled here
+        counts = single.mapInArrow(count, "fold int, token string, y0 long, y1 long, seen long")
+        counts = stage.cut(counts.groupBy("fold", "token").agg(*[F.sum(c).alias(c) for c in ("y0", "y1", "seen")]))
+        model = _scorer(counts)
+        if not model.scores:
+            return model
+        apart = [_scorer(counts.where(F.col("fold") != k)) for k in range(FOLDS)]
+        # Each text by the model that did not see it.
+        best = _measured(single, apart, lambda m, n, sums: (float(max(sums, default=0.0)), 0.0))
+        for k, part in enumerate(apart):
+            clean = [part.rate * r["a"] - math.log(max(r["n"], 1)) for r in best if r["fold"] == k and not r["toxic"] and r["a"] > 0]
+            part.log_k = float(np.mean(clean) - np.euler_gamma) if clean else 0.0
+        model.log_k = float(np.mean([part.log_k for part in apart]))
+        rows = _measured(single, apart, Scorer.evidence)
+    y = np.array([r["toxic"] for r in rows], dtype=float)
+    model.curve = _logistic(np.array([[r["a"], r["b"]] for r in rows]), y, np.where(y == 1, weight[1], weight[0]))
+    return model
 
-    counts = single.mapInArrow(count, "token string, y0 long, y1 long, seen long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y0", "y1", "seen")])
+
+def _scorer(counts: DataFrame) -> Scorer:
+    """Token scores and the rate of chance segments from counts (token, y0, y1, seen)."""
+    counts = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y0", "y1", "seen")])
     n0, n1, seen, n_tokens = counts.agg(F.sum("y0"), F.sum("y1"), F.sum("seen"), F.count("*")).first()
     if not n0 or not n1:
         return Scorer({}, 1.0)
@@ -186,28 +212,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     odds = lambda y, n: F.log((F.col(y) + prior) / (n + whole - F.col(y) - prior))
     spread = F.sqrt(1 / (F.col("y0") + prior) + 1 / (F.col("y1") + prior))
     told = counts.select("token", "seen", "y0", "y1", (odds("y1", n1) - odds("y0", n0)).alias("delta"), spread.alias("spread"))
-    told = told.where((F.abs(F.col("delta") / F.col("spread")) >= LEAST_Z) & (F.col("y0") + F.col("y1") >= LEAST_SEEN)).orderBy(F.desc(F.abs(F.col("delta") / F.col("spread"))), "token").limit(MODEL)
-    chosen = told.collect()
+    # The sample bounds them: each stands in LEAST_SEEN of its texts.
+    chosen = told.where((F.abs(F.col("delta") / F.col("spread")) >= LEAST_Z) & (F.col("y0") + F.col("y1") >= LEAST_SEEN)).orderBy("token").collect()
     model = Scorer({r["token"]: r["delta"] - DRIFT for r in chosen}, 1.0)
     share = np.array([(r["seen"] + 0.5) / max(seen, 1) for r in chosen] + [0.0])
     share[-1] = max(0.0, 1 - share.sum())
     model.rate = _rate(np.array([*model.scores.values(), -DRIFT]), share / share.sum())
+    return model
+
 
-    def measure(batches):
+def _measured(rows: DataFrame, models: list[Scorer], of) -> list:
+    """toxic, fold, number of tokens and the two numbers that `of` makes of the model of the fold and all segments."""
+    import pyarrow as pa
+
+    def run(batches):
         for batch in batches:
-            sums = [(len(found), [p[2] for p in parts]) for found, parts in map(model.passages, batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([n for n, _ in sums], pa.int64()), pa.array([max(s, default=0.0) for _, s in sums], pa.float64()), pa.array([sorted(s)[-50:] for _, s in sums], pa.list_(pa.float64()))],
-                names=["toxic", "n", "best", "sums"],
-            )
+            out = []
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
+                found, parts = models[fold].passages(text)
+                out.append((toxic, fold, len(found), *of(models[fold], len(found), [p[2] for p in parts])))
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["toxic", "fold", "n", "a", "b"])
 
-    seen_rows = single.mapInArrow(measure, "toxic int, n long, best double, sums array<double>").collect()
-    clean = [model.rate * r["best"] - np.log(max(r["n"], 1)) for r in seen_rows if not r["toxic"] and r["best"] > 0]
-    model.log_k = float(np.mean(clean) - np.euler_gamma) if clean else 0.0
-    x = np.array([model.evidence(r["n"], r["sums"]) for r in seen_rows])
-    y = np.array([r["toxic"] for r in seen_rows], dtype=float)
-    model.curve = _logistic(x, y, np.where(y == 1, weight[1], weight[0]))
-    return model
+    return rows.mapInArrow(run, "toxic int, fold int, n long, a double, b double").collect()
 
 
 def score(docs: DataFrame, model: Scorer) -> DataFrame:
@@ -216,18 +244,19 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
 
     results = ("score", "predicted", "n_passages")
     plain = docs.drop(*results)
+    (raw,) = unused(plain, "bytes")
     schema = T.StructType(plain.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_passages", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = shared.value
         for batch in batches:
-            out = list(zip(*map(scorer.score, batch.column("_bytes").to_pylist()))) or [(), (), ()]
-            names = [n for n in batch.schema.names if n != "_bytes"]
-            cols = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != "_bytes"]
+            out = list(zip(*map(scorer.score, batch.column(raw).to_pylist()))) or [(), (), ()]
+            names = [n for n in batch.schema.names if n != raw]
+            cols = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != raw]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.float64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=[*names, *results])
 
-    return plain.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def passages(docs: DataFrame, model: Scorer) -> DataFrame:

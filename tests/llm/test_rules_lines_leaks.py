@@ -109,6 +109,16 @@ def test_reparameterised_items_are_found(spark, docs):
     assert leaks.leaks(docs(rows), bench(spark, [(1, ITEM)]).limit(0)).count() == 0
 
 
+def test_every_word_of_a_name_counts(spark, docs):
+    item = "In the morning the teacher told Maria Lopez Garcia and her friend Jon Ash Reed that nobody may leave the room before noon."
+    changed = item.replace("Maria Lopez Garcia", "Anna Perez Soto").replace("Jon Ash Reed", "Tom Elm Poe")
+    found = leaks.leaks(docs([(1, changed), (2, item)]), bench(spark, [(1, item)])).collect()
+    assert {(r["doc_id"], r["n_held"], r["reparameterised"]) for r in found} == {(1, found[0]["n_windows"], True), (2, found[0]["n_windows"], False)}
+    clash = docs([(1, changed), (3, "clean text")]).withColumnRenamed("tag", "leaked_id")
+    kept = leaks.clean(clash, bench(spark, [(1, item)]))
+    assert kept.columns == clash.columns and [r["doc_id"] for r in kept.collect()] == [3]
+
+
 def test_short_items_match_whole(spark, docs):
     found = leaks.leaks(docs([(1, "He said that seven green bottles fell down."), (2, "seven green bottles")]), bench(spark, [(9, "Seven green bottles fell!")])).collect()
     assert [(r["doc_id"], r["item_id"], r["n_windows"]) for r in found] == [(1, 9, 1)]
@@ -133,7 +143,7 @@ def test_large_benchmarks_are_shuffled(spark, docs, monkeypatch):
 
 
 def test_sql_agrees(spark, docs, prose):
-    rows = [(k, t) for k, (_, t) in enumerate(prose(13))] + [(500 + k, f"Intro {k}.\nPage {k} of 9 all rights reserved\nOutro w{k}." ) for k in range(8)] + [(600, ITEM)]
+    rows = [(k, t) for k, (_, t) in enumerate(prose(13))] + [(700, ITEM.replace("while Anna", "while Anna Maria Lopez Garcia")), (701, ITEM.replace("Anna", "Boris Elm"))] + [(500 + k, f"Intro {k}.\nPage {k} of 9 all rights reserved\nOutro w{k}." ) for k in range(8)] + [(600, ITEM)]
     table = docs(rows)
     con = duckdb.connect()
     con.register("documents", table.select("doc_id", "text").toPandas())
