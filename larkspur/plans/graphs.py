@@ -17,13 +17,13 @@ def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user points to the user of the next event; days are put in order on their own and then chained."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id", F.to_date("ts").alias("day"))
-    within = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    firsts = events.groupBy("day").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("first"))
-    # One row a day, so a single window over all of them stays small.
-    following = firsts.select("day", F.lead("first.user_id").over(Window.orderBy("day")).alias("opening"))
-    chained = events.withColumn("next", within).join(following, "day").withColumn("next", F.coalesce("next", "opening"))
+    """A user points to the user of the next event; hours are put in order on their own and then chained."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id", F.date_trunc("hour", "ts").alias("hour"))
+    within = F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id"))
+    firsts = events.groupBy("hour").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("first"))
+    # One row an hour, so a single window over all of them stays small.
+    following = firsts.select("hour", F.lead("first.user_id").over(Window.orderBy("hour")).alias("opening"))
+    chained = events.withColumn("next", within).join(following, "hour").withColumn("next", F.coalesce("next", "opening"))
     return edges_from(chained, F.col("user_id"), F.col("next"), skip_null=True)
 
 
