@@ -5,7 +5,7 @@ a sentence; not the first, which any sentence capitalises) and units turn into t
 tokens are hashed and joined. For the windows that meet, the values behind the placeholders are compared:
 along one alignment of an item with a document, each value of the item must stand for one value of the
 document and the other way round, so a question with changed numbers or names is caught and a chance
-mixture is not. An item leaks into a document if at least `share` of its windows (and LEAST of them, or
+mixture is not. Where an alignment breaks that, its windows count that hold the item's own values. An item leaks into a document if at least `share` of its windows (and LEAST of them, or
 all) do.
 
 The scan makes one row of three numbers a window, without a shuffle while the benchmark is small: its
@@ -135,20 +135,22 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, stage: Stage, share: float) ->
     # One alignment of one item with one document: as many rows as the item has windows.
     at, slots = F.when(F.col("rich"), F.col("item_at")), F.when(F.col("rich"), F.col("slots"))
     values = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    verbatim = F.when(~F.exists("slots", lambda x: x["i"] != x["d"]), F.col("item_at"))
     aligned = pairs.groupBy("doc_id", "tag", "item_id", "shift").agg(
-        F.max("n_windows").alias("n_windows"), F.collect_set(at).alias("held"), values(slots).alias("values"), F.collect_set("item_at").alias("all_held"), values("slots").alias("all_values")
+        F.max("n_windows").alias("n_windows"), F.collect_set(at).alias("held"), values(slots).alias("values"), F.collect_set("item_at").alias("all_held"), values("slots").alias("all_values"),
+        F.collect_set(F.when(F.col("rich"), verbatim)).alias("same"), F.collect_set(verbatim).alias("all_same"),
     )
     distinct = lambda c, f: F.size(F.array_distinct(F.transform(c, lambda x: x[f])))
     fits = lambda c: (F.size(c) == distinct(c, "i")) & (F.size(c) == distinct(c, "d"))
     changed = lambda c: F.exists(c, lambda x: x["i"] != x["d"])
-    n = lambda held, values: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(fits(values), F.col(held)))))).cast("long")
+    n = lambda held, values, same: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(fits(values), F.col(held)).otherwise(F.col(same)))))).cast("long")
     enough = lambda x: (F.col(x) >= share * F.col("n_windows")) & (F.col(x) >= F.least(F.lit(LEAST), F.col("n_windows")))
     found = aligned.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").cast("long").alias("n_windows"),
-        n("held", "values").alias("n_rich"),
-        n("all_held", "all_values").alias("n_all"),
-        F.max(F.when(fits("values") & (F.size("held") > 0), changed("values"))).alias("rich_changed"),
-        F.max(F.when(fits("all_values"), changed("all_values"))).alias("all_changed"),
+        n("held", "values", "same").alias("n_rich"),
+        n("all_held", "all_values", "all_same").alias("n_all"),
+        F.coalesce(F.max(F.when(fits("values") & (F.size("held") > 0), changed("values"))), F.lit(False)).alias("rich_changed"),
+        F.coalesce(F.max(F.when(fits("all_values"), changed("all_values"))), F.lit(False)).alias("all_changed"),
     )
     either = lambda a, b: F.when(enough("n_rich"), F.col(a)).otherwise(F.col(b))
     return found.where(enough("n_rich") | enough("n_all")).select(

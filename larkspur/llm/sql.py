@@ -92,8 +92,8 @@ dw AS (SELECT doc_id, w, q, t[q:q + w - 1] AS tw, v[q:q + w - 1] AS vd FROM (SEL
 m AS MATERIALIZED (SELECT doc_id, item_id, q - p AS shift, p, n_windows, w, iw.tw, vw, vd FROM dw JOIN iw USING (w, tw)),
 x AS (SELECT DISTINCT doc_id, item_id, shift, vw[k] AS a, vd[k] AS z FROM (SELECT *, unnest(range(1, w + 1)) AS k FROM m) WHERE tw[k] IN ('<num>', '<name>', '<unit>')),
 c AS (SELECT doc_id, item_id, shift, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT z) AS fits, bool_or(a <> z) AS changed FROM x GROUP BY ALL),
-g AS (SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(count(DISTINCT p) AS BIGINT) AS n_held, bool_or(coalesce(changed, false)) AS reparameterised
-  FROM m LEFT JOIN c USING (doc_id, item_id, shift) WHERE coalesce(fits, true) GROUP BY doc_id, item_id)
+g AS (SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(count(DISTINCT p) AS BIGINT) AS n_held, bool_or(coalesce(fits AND changed, false)) AS reparameterised
+  FROM m LEFT JOIN c USING (doc_id, item_id, shift) WHERE coalesce(fits, true) OR vw = vd GROUP BY doc_id, item_id)
 SELECT * FROM g WHERE n_held >= {leaks.SHARE} * n_windows AND n_held >= least({leaks.LEAST}, n_windows)
 """
 

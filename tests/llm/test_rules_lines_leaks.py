@@ -95,16 +95,18 @@ ITEM = "A train covers 120 km in 3 hours while Anna drives 120 km in 2 hours, so
 def test_reparameterised_items_are_found(spark, docs):
     same = ITEM
     changed = ITEM.replace("120", "450").replace("Anna", "Boris").replace("3 hours", "9 hours")
-    mixed = ITEM.replace("120", "450", 1)  # one value of the item for two of the text
-    rows = [(1, "Before it all. " + same + " And after."), (2, "Intro words, " + changed), (3, "Intro words, " + mixed), (4, "A train is late and nobody knows why it happened on that day."), (5, None), (6, ""), (7, "w " * 5000 + same), (None, same), (1, "again " + same)]
+    mixed = ITEM.replace("120", "450", 1)  # one value of the item for two of the text: windows without the change count
+    apart = changed.replace("450", "460", 1).replace("Boris", "Carl", 1)  # changed everywhere, and not alike
+    rows = [(1, "Before it all. " + same + " And after."), (2, "Intro words, " + changed), (3, "Intro words, " + mixed), (4, "A train is late and nobody knows why it happened on that day."), (5, None), (6, ""), (7, "w " * 5000 + same), (None, same), (1, "again " + same), (8, "Intro words, " + apart)]
     found = {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(docs(rows), bench(spark, [(1, ITEM), (2, None), (3, ""), (4, "Four short words only"), (5, ITEM)])).collect()}
-    assert {k for k in found if k[0] in (1, 2, 7)} == {(d, i) for d in (1, 2, 7) for i in (1, 5)}
+    assert {k for k in found if k[0] in (1, 2, 3, 7)} == {(d, i) for d in (1, 2, 3, 7) for i in (1, 5)}
     assert not any(k[0] in (4, 5, 6) for k in found)
     assert found[(2, 1)]["reparameterised"] and not found[(7, 1)]["reparameterised"]
     # Behind a small letter the first word reads as a name, which costs the first window.
-    assert found[(1, 1)]["n_held"] - 1 <= found[(7, 1)]["n_held"] <= found[(1, 1)]["n_held"] and (3, 1) not in found
+    assert found[(1, 1)]["n_held"] - 1 <= found[(7, 1)]["n_held"] <= found[(1, 1)]["n_held"]
+    assert found[(3, 1)]["n_held"] < found[(7, 1)]["n_held"] and not found[(3, 1)]["reparameterised"] and (8, 1) not in found
     kept = leaks.clean(docs(rows), bench(spark, [(1, ITEM)]))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "5", "6", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "5", "6", "8", "None"]
     assert leaks.leaks(docs(rows).limit(0), bench(spark, [(1, ITEM)])).count() == 0
     assert leaks.leaks(docs(rows), bench(spark, [(1, ITEM)]).limit(0)).count() == 0
 
@@ -113,7 +115,8 @@ def test_every_word_of_a_name_counts(spark, docs):
     item = "In the morning the teacher told Maria Lopez Garcia and her friend Jon Ash Reed that nobody may leave the room before noon."
     changed = item.replace("Maria Lopez Garcia", "Anna Perez Soto").replace("Jon Ash Reed", "Tom Elm Poe")
     found = leaks.leaks(docs([(1, changed), (2, item)]), bench(spark, [(1, item)])).collect()
-    assert {(r["doc_id"], r["n_held"], r["reparameterised"]) for r in found} == {(1, found[0]["n_windows"], True), (2, found[0]["n_windows"], False)}
+    # Of 16 windows two hold five names and too few words besides.
+    assert {(r["doc_id"], r["n_windows"], r["n_held"], r["reparameterised"]) for r in found} == {(1, 16, 14, True), (2, 16, 14, False)}
     clash = docs([(1, changed), (3, "clean text")]).withColumnRenamed("tag", "leaked_id")
     kept = leaks.clean(clash, bench(spark, [(1, item)]))
     assert kept.columns == clash.columns and [r["doc_id"] for r in kept.collect()] == [3]
@@ -143,7 +146,7 @@ def test_large_benchmarks_are_shuffled(spark, docs, monkeypatch):
 
 
 def test_sql_agrees(spark, docs, prose):
-    rows = [(k, t) for k, (_, t) in enumerate(prose(13))] + [(700, ITEM.replace("while Anna", "while Anna Maria Lopez Garcia")), (701, ITEM.replace("Anna", "Boris Elm"))] + [(500 + k, f"Intro {k}.\nPage {k} of 9 all rights reserved\nOutro w{k}." ) for k in range(8)] + [(600, ITEM)]
+    rows = [(k, t) for k, (_, t) in enumerate(prose(13))] + [(700, ITEM.replace("while Anna", "while Anna Maria Lopez Garcia")), (701, ITEM.replace("Anna", "Boris Elm")), (702, ITEM.replace("120", "450", 1)), (703, ITEM.replace("hours", "days", 1))] + [(500 + k, f"Intro {k}.\nPage {k} of 9 all rights reserved\nOutro w{k}." ) for k in range(8)] + [(600, ITEM)]
     table = docs(rows)
     con = duckdb.connect()
     con.register("documents", table.select("doc_id", "text").toPandas())
