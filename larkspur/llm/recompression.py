@@ -1,15 +1,24 @@
 """Substring dedup (5): runs of 35 words that stand in more than one place, by recompression.
 
-Texts become sequences of word names (64-bit fingerprints, so a name is the same wherever the words are,
-without a dictionary to shuffle). Rounds of recompression replace runs of one name by a name for the run,
-and pairs whose left name has bit 0 and right name bit 1 by a name for the pair; only symbols short
-enough for the round take part. Whether two words end up in one symbol then depends on REACH words on
-either side, so equal windows have the same symbol borders inside, wherever they stand. The border with
-the least fingerprint of the words around it anchors a window; repeats compares blocks of windows that
-share an anchor, and Spark's shuffles bring equal names of all documents together.
-
-Windows inside one long run have no border and anchor themselves. Repeats are verified by 128 bits of
-fingerprints over all their words. Null and empty texts have no words; texts of under 35 words keep all;
+Names are content hashes, so equal runs of words get equal names on every executor without a dictionary.
+
+1. Inside a text, rounds of recompression replace runs of one name by a name for the run, and pairs whose left
+   name has bit 0 and right name bit 1 by a name for the pair; only symbols short enough for the round
+   take part (ROUNDS). Whether two words end up in one symbol then depends on REACH words on either side, so
+   equal windows have the same symbol borders inside, wherever they stand. The border with the least
+   fingerprint of the words around it anchors a window, and the windows of a text fall into runs that
+   share an anchor: the symbols of the next level.
+2. Spark names and counts these symbols over all texts (see repeats): first by their anchor, then by all of their
+   words. Shared ones are repeats as a whole.
+3. Further rounds in Spark (MERGES) merge neighbouring shared symbols of a text, runs and pairs as above, name the
+   result and count the names over all texts; a larger symbol stands if it is shared, else its parts do. A
+   repeat of thousands of words ends up as few symbols, so texts are read again with a few ranges for
+   each long repeat and not with one for every ten words.
+4. Shared symbols are what equal runs of windows have in common; what is left at the ends of repeats, symbols
+   that share their anchor and not their words, is compared window by window, word by word.
+
+Windows inside one long run have no border and anchor themselves. Names are xxh3 of the words and of
+their sequence. Null and empty texts have no words; texts of under 35 words keep all;
 repeats within a text count, also where they overlap; a text that stands twice is removed wholly (from 35
 words on); very long texts are cut into blocks like any other; rows with the same or a null doc_id are
 told apart by their text; further columns are ignored; an empty table gives an empty result.
@@ -22,17 +31,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import blocks as B
-from larkspur.llm.common import WordNames, documents
+from larkspur.llm.common import Stage, WordNames, documents
 from larkspur.llm.repeats import remove_repeats
 
 WINDOW, REACH = 35, 5
 #: Longest symbols that each round may pair. REACH follows from these: 2 words for runs and the first
 #: round, and as many more as the longest symbol of each further round.
 ROUNDS = (1, 1, 2)
+#: Rounds in Spark that merge shared symbols.
+MERGES = 3
 WORD = re.compile(rb"[^\x20\x09-\x0D]+").findall
 U = np.uint64
 
@@ -98,9 +110,55 @@ def word_blocks(names: np.ndarray, text: np.ndarray, window: int) -> B.Blocks:
     return B.Blocks(text[first], first - head, last - first, B.signed(anchor), B.signed(body), border - first)
 
 
+def _neighbours(rows: DataFrame):
+    """The symbols of a text in order, and those that follow each other without a gap."""
+    order = Window.partitionBy("doc_id", "tag").orderBy("start")
+    rows = rows.withColumn("left", F.when(F.lag(F.col("start") + F.col("count")).over(order) == F.col("start"), F.lag("name").over(order)))
+    return rows.withColumn("right", F.when(F.lead("start").over(order) == F.col("start") + F.col("count"), F.lead("name").over(order))), order
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Symbols with the name and the start of the run of one and the same symbol that they are part of; null if it is no run."""
+    rows, order = _neighbours(rows)
+    rows = rows.withColumn("run", F.sum(F.when(F.col("left") == F.col("name"), 0).otherwise(1)).over(order))
+    run = Window.partitionBy("doc_id", "tag", "run")
+    rows = rows.withColumn("times", F.count("*").over(run)).withColumn("first", F.min("start").over(run))
+    larger = F.when(F.col("times") > 1, F.xxhash64("name", "times", F.lit("run")))
+    return rows.select("doc_id", "tag", "start", "count", "name", larger.alias("larger"), "first")
+
+
+def _pairs(rows: DataFrame, number: int) -> DataFrame:
+    """Symbols with the name and the start of the pair that they are part of: a left symbol by its name's bit, and a right one behind it."""
+    rows, order = _neighbours(rows)
+    bit = lambda c: F.xxhash64(c, F.lit(number)).bitwiseAND(F.lit(1))
+    opens = (bit("name") == 0) & (bit("right") == 1)
+    closes = (bit("name") == 1) & (bit("left") == 0)
+    rows = rows.withColumn("before", F.lag("start").over(order))
+    larger = F.when(F.col("right").isNotNull() & opens, F.xxhash64("name", "right")).when(F.col("left").isNotNull() & closes, F.xxhash64("left", "name"))
+    first = F.when(F.col("right").isNotNull() & opens, F.col("start")).when(F.col("left").isNotNull() & closes, F.col("before"))
+    return rows.select("doc_id", "tag", "start", "count", "name", larger.alias("larger"), first.alias("first"))
+
+
 class Words:
     """Windows of words, for repeats."""
 
+    rounds = MERGES
+
+    def merged(self, symbols: DataFrame, stage: Stage) -> DataFrame:
+        """Symbols (doc_id, tag, start, count, name) that neither run nor pair merges any more, or MERGES rounds have merged."""
+        for number in range(self.rounds):
+            for named in (_runs, lambda rows, k=number: _pairs(rows, k)):
+                found = stage.cut(named(symbols))
+                # Named alike wherever they stand; only names that stand twice are kept, else their parts.
+                twice = stage.cut(found.where("larger IS NOT NULL").groupBy("larger").agg(F.countDistinct("doc_id", "tag", "first").alias("n")).where("n > 1").select("larger", F.lit(True).alias("kept")))
+                if twice.isEmpty():
+                    continue
+                told = found.join(twice.hint("merge"), "larger", "left")
+                whole = told.where("kept").groupBy("doc_id", "tag", F.col("first").alias("start"), F.col("larger").alias("name")).agg(F.sum("count").alias("count"))
+                before, symbols = symbols, stage.cut(told.where("kept IS NULL").select("doc_id", "tag", "start", "count", "name").unionByName(whole))
+                stage.drop(before, found, twice)
+        return symbols.select("doc_id", "tag", "start", "count")
+
     def __init__(self, window: int = WINDOW):
         self.window, self.names = window, WordNames()
         self.fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]

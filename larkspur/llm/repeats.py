@@ -200,11 +200,15 @@ def _without_repeats(docs: DataFrame, scheme, stage: Stage) -> DataFrame:
     stage.drop(bodies)
     first = F.col("first").eqNullSafe(F.struct("doc_id", "tag", "place"))
     kind = F.when(F.col("n") > 1, WHOLE).otherwise(0) + F.when((F.col("kinds") > 1) & first, F.when(F.col("n") > 1, EVIDENCE).otherwise(ASKED)).otherwise(0)
-    known = shared.join(told.hint("merge"), ["anchor", "body"]).select(
-        F.col("doc_id").alias("_id"),
-        F.col("tag").alias("_tag"),
-        F.struct("anchor", (F.col("kinds") > LIMIT).alias("hot"), F.shiftright("place", COUNT).alias("start"), F.col("place").bitwiseAND(F.lit((1 << COUNT) - 1)).alias("count"), kind.alias("kind")).alias("known"),
-    )
+    at, count = F.shiftright("place", COUNT).alias("start"), F.col("place").bitwiseAND(F.lit((1 << COUNT) - 1)).alias("count")
+    met = shared.join(told.hint("merge"), ["anchor", "body"]).select("doc_id", "tag", "anchor", (F.col("kinds") > LIMIT).alias("hot"), at, count, kind.alias("kind"), F.xxhash64("anchor", "body").alias("name"))
+    if scheme.rounds:
+        met = stage.cut(met)
+        whole = met.where(f"kind & {WHOLE} <> 0").select("doc_id", "tag", "start", "count", "name").distinct()
+        whole = scheme.merged(stage.cut(whole), stage).withColumn("kind", F.lit(WHOLE))
+        rest = met.withColumn("kind", F.col("kind").bitwiseAND(F.lit(EVIDENCE | ASKED))).where("kind <> 0")
+        met = rest.unionByName(whole, allowMissingColumns=True)
+    known = met.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.struct("anchor", "hot", "start", "count", "kind").alias("known"))
     known = known.groupBy("_id", "_tag").agg(F.collect_list("known").alias("known"))
     asks = T.ArrayType(T.StructType().add("anchor", "long").add("hot", "boolean").add("start", "long").add("rel", "long").add("asked", "boolean").add("content", "binary"))
     schema = T.StructType().add("doc_id", "long").add("tag", "long").add("text", "binary").add("whole", T.ArrayType(T.LongType())).add("asks", asks)

@@ -124,6 +124,8 @@ def equal_neighbours(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarr
 class Bytes:
     """Windows of bytes, for repeats."""
 
+    rounds = 0
+
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         self.fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]

@@ -209,3 +209,21 @@ def test_nothing_is_left_but_the_result(spark, docs, prose):
     with pytest.raises(Exception):
         S.remove_repeated_bytes(docs(prose(4)).selectExpr("doc_id", "raise_error('no') AS text"))
     assert len(fs.listStatus(root)) == before and not results()
+
+
+def test_shared_symbols_merge(spark):
+    """Two texts with 200 shared symbols in a row, one of them ten times over, and a third with every second one."""
+    from larkspur.llm.common import Stage
+
+    names = [k if not 50 <= k < 60 else 50 for k in range(200)]
+    rows = [(d, 7, 10 * k + 5 * d, 10, name) for d in (1, 2) for k, name in enumerate(names)] + [(3, 7, 20 * k, 10, k) for k in range(100)]
+    with Stage(spark) as stage:
+        got = [tuple(r) for r in R.Words().merged(stage.cut(spark.createDataFrame(rows, "doc_id long, tag long, start long, count long, name long")), stage).collect()]
+    for d in (1, 2, 3):
+        mine = sorted((s, n) for i, _, s, n in got if i == d)
+        if d < 3:
+            assert len(mine) < 120 and mine[0][0] == 5 * d and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and sum(n for _, n in mine) == 2000
+        else:
+            assert mine == [(20 * k, 10) for k in range(100)]
+    lengths = [sorted((s - 5 * d, n) for i, _, s, n in got if i == d) for d in (1, 2)]
+    assert lengths[0] == lengths[1] and (500, 100) in lengths[0] or any(a <= 500 and a + n >= 600 for a, n in lengths[0])
