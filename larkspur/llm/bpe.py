@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import documents, unused
+from larkspur.llm.common import documents, pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MEMO, LONG, PAIRS = 400_000, 48, 2_000_000
@@ -229,22 +229,19 @@ def _appended(docs: DataFrame, path: str, fields: list[tuple[str, T.DataType]],
     from pyspark.sql.pandas.types import to_arrow_type
 
     plain = docs.drop(*[name for name, _ in fields])
-    (raw,) = unused(plain, "bytes")
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         coder = encoder(spec.value)
         for batch in batches:
-            found = [of(coder, (t or b"").decode("utf-8", "replace")) for t in batch.column(raw).to_pylist()]
-            names = [name for name in batch.schema.names if name != raw]
-            cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != raw]
-            made = list(zip(*found)) or [()] * len(fields)
-            cols += [pa.array(values, to_arrow_type(kind)) for values, (_, kind) in zip(made, fields)]
-            yield pa.RecordBatch.from_arrays(cols, names=names + [name for name, _ in fields])
+            for piece, texts in pieces(batch):
+                made = list(zip(*[of(coder, (t or b"").decode("utf-8", "replace")) for t in texts]))
+                cols = piece.columns + [pa.array(values, to_arrow_type(kind)) for values, (_, kind) in zip(made, fields)]
+                yield pa.RecordBatch.from_arrays(cols, names=piece.schema.names + [name for name, _ in fields])
 
     schema = T.StructType(plain.schema.fields + [T.StructField(name, kind) for name, kind in fields])
-    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

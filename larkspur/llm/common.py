@@ -51,6 +51,18 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def pieces(batch, rows: int = 512):
+    """An Arrow batch in pieces of a few rows, each with its texts as bytes; no column is copied but the texts of a piece."""
+    import pyarrow as pa
+
+    at = batch.schema.get_field_index("text")
+    for k in range(0, batch.num_rows, rows):
+        piece = batch.slice(k, rows)
+        column = piece.column(at)
+        binary = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+        yield piece, column.cast(binary).to_pylist()
+
+
 def at_most(rows: DataFrame, n: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The table of n rows, marked for broadcast if they are few; n is a count and no guess."""
     return F.broadcast(rows) if n <= limit else rows.hint("merge")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import documents, unused
+from larkspur.llm.common import documents, pieces
 
 BUCKETS, SAMPLE, CLEAR = 1 << 15, 300, 0.6
 LETTER = regex.compile(r"\p{L}")
@@ -148,20 +148,17 @@ def identify(docs: DataFrame, coder: Coder) -> DataFrame:
     import pyarrow as pa
 
     plain = docs.drop(*RESULTS)
-    (raw,) = unused(plain, "bytes")
     schema = T.StructType(plain.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(raw).to_pylist()]
-            cols = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != raw]
-            names = [name for name in batch.schema.names if name != raw]
-            out = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=[*names, *RESULTS])
+            for piece, texts in pieces(batch):
+                out = list(zip(*map(model.predict, texts)))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=[*piece.schema.names, *RESULTS])
 
-    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import blocks as B
-from larkspur.llm.common import Stage, WordNames, at_most, documents, unused
+from larkspur.llm.common import Stage, WordNames, at_most, documents, pieces, unused
 
 SHINGLE, SIMILARITY = 5, 80  # in words; in hundredths
 SCREENS, TREES, DEPTH, SMALL = 20, 30, 3, 500
@@ -133,15 +133,16 @@ def _sets(rows: DataFrame, shingle: int, similarity: int) -> DataFrame:
     def run(batches):
         names = WordNames()
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text, shingle, names)
-                s1, s2 = (int(B.mix(tokens * U(k) + U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 3))
-                sure, more = first_nodes(tokens, similarity, SCREENS) if len(tokens) else (tokens, tokens)
-                out.append((len(tokens), s1, s2, B.signed(sure), B.signed(more)))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "t1", "t2")] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "t1", "t2", "n", "s1", "s2", "sure", "more"])
+            for piece, texts in pieces(batch):
+                out = []
+                for text in texts:
+                    tokens = shingles(text, shingle, names)
+                    s1, s2 = (int(B.mix(tokens * U(k) + U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 3))
+                    sure, more = first_nodes(tokens, similarity, SCREENS) if len(tokens) else (tokens, tokens)
+                    out.append((len(tokens), s1, s2, B.signed(sure), B.signed(more)))
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+                cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in ("doc_id", "t1", "t2")] + cols, names=["doc_id", "t1", "t2", "n", "s1", "s2", "sure", "more"])
 
     return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long, sure array<long>, more array<long>")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Stage, documents, unused
+from larkspur.llm.common import Stage, documents, pieces
 
 SAMPLE, FOLDS, FLOOR, PRIOR, LEAST_Z, LEAST_SEEN, DRIFT = 3000, 4, 0.5, 500.0, 3.0, 5, 0.05
 SKETCHES = 4
@@ -244,19 +244,17 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
 
     results = ("score", "predicted", "n_passages")
     plain = docs.drop(*results)
-    (raw,) = unused(plain, "bytes")
     schema = T.StructType(plain.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_passages", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = shared.value
         for batch in batches:
-            out = list(zip(*map(scorer.score, batch.column(raw).to_pylist()))) or [(), (), ()]
-            names = [n for n in batch.schema.names if n != raw]
-            cols = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != raw]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.float64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=[*names, *results])
+            for piece, texts in pieces(batch):
+                out = list(zip(*map(scorer.score, texts)))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out[0], pa.float64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=[*piece.schema.names, *results])
 
-    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def passages(docs: DataFrame, model: Scorer) -> DataFrame:
