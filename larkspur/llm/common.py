@@ -18,15 +18,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 #: Rows of two or three numbers that may be broadcast; larger tables are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes a core up to which a table in few files is worth a shuffle before it is worked on.
+FEW_BYTES = 32 << 20
 #: Words that a worker remembers the names of.
 REMEMBERED = 500_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents; one that comes in fewer pieces than there are cores is dealt out over them."""
-    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
+    """The table of documents; a small one in fewer files than there are cores is dealt out over them."""
+    where, cores = f"{sf_dir}/documents.parquet", spark.sparkContext.defaultParallelism
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    held = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
+    docs = spark.read.parquet(where)
+    return docs.repartition(cores) if held.getFileCount() < cores and held.getLength() <= cores * FEW_BYTES else docs
 
 
 def texts(docs: DataFrame) -> DataFrame:
